@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("lines", "encoding", "packing")
+MODULES = ("lines", "splitting", "encoding", "packing", "repetition")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

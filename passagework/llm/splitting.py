@@ -6,7 +6,7 @@ import re
 from bisect import bisect_left, bisect_right
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -107,17 +107,21 @@ def pieces(items: DataFrame, key: str = "chunk_index", text: str = "text", title
     large = items.filter(F.col(key).isNotNull()).select(key, text, room.alias("room")).filter(F.length(text) > F.col("room")).dropDuplicates([key])
     schema = f"{key} {items.schema[key].dataType.simpleString()}, cut_level string, piece int, start int, end int, repeated int, text string"
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    kinds = {"cut_level": pa.string(), "piece": pa.int32(), "start": pa.int32(), "end": pa.int32(), "repeated": pa.int32(), "text": pa.string()}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for k, value, space in zip(batch[key].tolist(), batch[text], batch["room"].tolist(), strict=True):
+            rows: list[tuple] = []
+            for at, (value, space) in enumerate(zip(batch.column(text).to_pylist(), batch.column("room").to_pylist(), strict=True)):
                 level, cuts = split(value, space, overlap)
-                rows.extend((k, level, i, a, b, again, value[a:b]) for i, (a, b, again) in enumerate(cuts))
-                if not cuts:  # blanks only
-                    rows.append((k, level, 0, 0, 0, 0, ""))
-            yield pd.DataFrame(rows, columns=[key, "cut_level", "piece", "start", "end", "repeated", "text"])
-
-    return large.mapInPandas(run, schema)
+                # a text of blanks only is one empty piece
+                rows.extend((at, level, i, a, b, again, value[a:b]) for i, (a, b, again) in enumerate(cuts or [(0, 0, 0)]))
+            columns = list(zip(*rows, strict=True)) or [()] * 7
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(key).take(pa.array(columns[0], pa.int64())), *(pa.array(c, t) for c, t in zip(columns[1:], kinds.values(), strict=True))], [key, *kinds]
+            )
+
+    return large.mapInArrow(run, schema)
 
 
 def found(spark: SparkSession, d: str) -> DataFrame:

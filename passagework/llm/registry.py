@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("lines", "truncation", "quality", "splitting", "encoding", "packing", "repetition")
+MODULES = ("lines", "neighbours", "similar", "truncation", "quality", "splitting", "encoding", "packing", "repetition")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

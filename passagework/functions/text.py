@@ -77,7 +77,7 @@ def normalize_semantic_text(text: Column, preserve_lines: bool = False) -> Colum
 
 def split_sentences(text: Column) -> Column:
     """Sentences of the collapsed text; none for a blank one."""
-    return F.filter(F.transform(F.split(collapse(text), SENTENCE_BOUNDARY), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(collapse(text), SENTENCE_BOUNDARY), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def split_words(text: Column) -> Column:

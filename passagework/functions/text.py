@@ -27,6 +27,11 @@ PAGE_NUMBER = r"(?i)^(?:page\s+)?\d+(?:\s+(?:of|/)\s+\d+)?$"
 NUMERIC_LINE = r"[\d$€£¥%]"
 
 
+def at(array: Column | str, index: Column | int) -> Column:
+    """The element at a place counted from 1, or from the end if negative; null if there is none."""
+    return F.try_element_at(array, index if isinstance(index, Column) else F.lit(index))
+
+
 def text_or_empty(text: Column) -> Column:
     """Null as ''."""
     return F.coalesce(text, F.lit(""))
@@ -113,8 +118,8 @@ def normalized_cell(cell: Column) -> Column:
 
 def looks_like_header(rows: Column) -> Column:
     """Whether the first of two or more rows has enough filled cells, none longer than 100 characters."""
-    filled = F.filter(F.element_at(rows, 1), lambda c: c != "")
-    return (F.size(rows) >= 2) & (F.size(filled) >= F.greatest(F.lit(1), F.ceil(F.size(F.element_at(rows, 1)) / 2))) & (
+    filled = F.filter(at(rows, 1), lambda c: c != "")
+    return (F.size(rows) >= 2) & (F.size(filled) >= F.greatest(F.lit(1), F.ceil(F.size(at(rows, 1)) / 2))) & (
         F.coalesce(F.array_max(F.transform(filled, F.length)), F.lit(0)) <= 100
     )
 
@@ -123,7 +128,7 @@ def markdown_table(rows: Column) -> Column:
     """Rows of cells as a Markdown table; empty rows are dropped, a header gets its rule."""
     tidy = F.filter(F.transform(rows, lambda r: F.transform(r, format_cell)), lambda r: F.exists(r, lambda c: c != ""))
     shown = F.transform(tidy, lambda r: F.concat(F.lit("| "), F.array_join(r, " | "), F.lit(" |")))
-    rule = F.concat(F.lit("| "), F.array_join(F.transform(F.element_at(tidy, 1), lambda _: F.lit("---")), " | "), F.lit(" |"))
+    rule = F.concat(F.lit("| "), F.array_join(F.transform(at(tidy, 1), lambda _: F.lit("---")), " | "), F.lit(" |"))
     ruled = F.when(looks_like_header(tidy), F.concat(F.slice(shown, 1, 1), F.array(rule), F.slice(shown, 2, F.greatest(F.size(shown) - 1, F.lit(0))))).otherwise(shown)
     return F.when(F.coalesce(F.size(tidy), F.lit(0)) <= 0, F.lit("")).otherwise(F.array_join(ruled, "\n"))
 
@@ -182,7 +187,7 @@ def display_text(leaf: Column, overlap: Column, units: Column) -> Column:
 
 def embedding_text(path: Column, shown: Column) -> Column:
     """A chunk as embedded: the path of headings, and the text without its own heading."""
-    leaf = F.element_at(path, -1)
+    leaf = at(path, -1)
     body = F.when(shown == leaf, F.lit("")).when(F.startswith(shown, F.concat(leaf, F.lit("\n\n"))), F.substr(shown, F.length(leaf) + 3)).otherwise(shown)
     return F.when(F.coalesce(F.size(path), F.lit(0)) <= 0, shown).otherwise(strip(F.concat(F.array_join(path, " > "), F.lit("\n\n"), body)))
 
@@ -190,9 +195,9 @@ def embedding_text(path: Column, shown: Column) -> Column:
 def common_overlap(previous: Column, current: Column) -> Column:
     """The greatest number of words that end ``previous`` and start ``current`` (arrays of words)."""
     most = F.least(F.size(previous), F.size(current))
-    first = F.element_at(current, 1)
+    first = at(current, 1)
     # the costly comparison of slices is made only where the first word agrees
-    fits = F.filter(F.sequence(F.lit(1), F.greatest(most, F.lit(1))), lambda k: (F.element_at(previous, -k) == first) & (F.slice(previous, -k, k) == F.slice(current, F.lit(1), k)))
+    fits = F.filter(F.sequence(F.lit(1), F.greatest(most, F.lit(1))), lambda k: (at(previous, -k) == first) & (F.slice(previous, -k, k) == F.slice(current, F.lit(1), k)))
     return F.when(most <= 0, F.lit(0)).otherwise(F.coalesce(F.array_max(fits), F.lit(0)))
 
 

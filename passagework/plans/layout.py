@@ -59,7 +59,7 @@ def running_lines(spark: SparkSession, d: str) -> DataFrame:
     """First and last lines that come back on the pages of a document."""
     c = chunks(spark, d)
     full = X.full_lines(F.col("text"))
-    ends = c.filter(F.size(full) > 0).select("source_document", "page_number", F.explode(F.array(F.element_at(full, 1), F.element_at(full, -1))).alias("text"))
+    ends = c.filter(F.size(full) > 0).select("source_document", "page_number", F.explode(F.array(X.at(full, 1), X.at(full, -1))).alias("text"))
     return L.repeated_signatures(ends.filter("page_number is not null"), "source_document", "page_number", share=0.05)
 
 

@@ -46,7 +46,7 @@ def hard_split(spark: SparkSession, d: str) -> DataFrame:
 
 def signatures(spark: SparkSession, d: str) -> DataFrame:
     """Signatures that are shared by titles and first lines."""
-    first = F.element_at(X.lines(F.col("text")), 1)
+    first = X.at(X.lines(F.col("text")), 1)
     return _documents(spark, d).select(X.signature(first).alias("signature")).filter("signature <> ''").groupBy("signature").agg(F.count("*").alias("documents"))
 
 
@@ -63,7 +63,7 @@ def ids(spark: SparkSession, d: str) -> DataFrame:
 
 def shown(spark: SparkSession, d: str) -> DataFrame:
     """Chunks as shown under their heading and as embedded with their path of headings."""
-    display = X.display_text(F.element_at("section_path", -1), F.lit(None).cast("string"), F.array(X.text_or_empty(F.col("text"))))
+    display = X.display_text(X.at("section_path", -1), F.lit(None).cast("string"), F.array(X.text_or_empty(F.col("text"))))
     c = _chunks(spark, d).withColumn("shown", F.when(F.size("section_path") > 0, display).otherwise(X.strip(X.text_or_empty(F.col("text")))))
     return c.select("chunk_index", F.md5("shown").alias("shown"), F.md5(X.embedding_text(F.col("section_path"), F.col("shown"))).alias("embedded"))
 

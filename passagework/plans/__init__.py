@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES: tuple[str, ...] = ("vector", "text", "validation", "layout", "chunking")
+MODULES: tuple[str, ...] = ("vector", "text", "validation", "layout", "chunking", "answers")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

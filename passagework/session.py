@@ -86,5 +86,11 @@ def _remove_all() -> None:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """The Parquet table ``name`` of a data directory."""
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """The Parquet table ``name`` of a data directory, in at least as many partitions as there are cores.
+
+    A small file is one split; the text operators are bound by computation, so such a table is
+    spread once. One that already has a split for each core is read as it is.
+    """
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if df._jdf.rdd().getNumPartitions() < cores else df

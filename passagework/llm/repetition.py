@@ -144,7 +144,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p9_found": found,
     "p9_scores": lambda spark, d: score(table(spark, d, "documents")),
 }
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "p9_found": r"""WITH w AS (SELECT DISTINCT ON (doc_id) doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS ws FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
+        r AS (SELECT doc_id, list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i : i + 4], ' ')) AS runs FROM w WHERE len(ws) >= 30)
+        SELECT doc_id FROM r WHERE len(runs) - len(list_distinct(runs)) >= 0.25 * len(runs)""",
+}
 
 
 def brute_force(text: str | None) -> tuple[int, int, int]:

@@ -201,6 +201,13 @@ def common_overlap(previous: Column, current: Column) -> Column:
     return F.when(most <= 0, F.lit(0)).otherwise(F.coalesce(F.array_max(fits), F.lit(0)))
 
 
+def highlight(text: Column, first: Column, last: Column, mark: str = "mark") -> Column:
+    """The text's words with the ``first`` and ``last`` so many in marks; signs of markup are escaped."""
+    escaped = F.replace(F.replace(F.replace(text_or_empty(text), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    words = split_words(escaped)
+    return F.array_join(F.transform(words, lambda w, i: F.when((i < first) | (i >= F.size(words) - last), F.concat(F.lit(f"<{mark}>"), w, F.lit(f"</{mark}>"))).otherwise(w)), " ")
+
+
 #: Keyword rules of the routing of questions, in order.
 INTENTS = (
     ("fees", ("fee", "cost", "charge", "brokerage account")), ("ira", ("ira", "59", "withdraw", "early")),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -133,3 +134,33 @@ def load_or_extract(spark: SparkSession, folder: str, cache_path: str, version:
     fresh.write.mode("append").partitionBy("extraction_version").parquet(cache_path)
     hits = cache.join(probed.filter("cache_status = 'hit'").select("extraction_version", "source_fingerprint").distinct(), ["extraction_version", "source_fingerprint"], "left_semi")
     return hits.unionByName(fresh), probed
+
+
+def read_document(spark: SparkSession, path: str) -> dict | None:
+    """One small JSON document, such as a run's statistics; None if it isn't there."""
+    if not exists(spark, path):
+        return None
+    return json.loads(spark.read.text(path, wholetext=True).first()[0])
+
+
+def read_array(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The records of a file that is one JSON array, such as a set of questions."""
+    return spark.read.schema(schema).option("multiLine", True).option("mode", "FAILFAST").json(path)
+
+
+def parse_requests(requests: DataFrame, dim: int, column: str = "value", default_k: int = 5) -> DataFrame:
+    """Search requests as ``embedding``, ``top_k`` and ``error``, null for a valid one.
+
+    Errors: ``empty``, ``invalid JSON``, ``no embedding`` for a missing, null or non-numeric one,
+    ``wrong dimension``, and ``invalid top_k`` for one that isn't an integer; a missing top_k is the default.
+    """
+    raw = F.trim(F.coalesce(F.col(column), F.lit("")))
+    parsed = F.from_json(raw, "embedding array<double>, top_k string, _bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"})
+    e, k = parsed["embedding"], parsed["top_k"]
+    given = F.get_json_object(raw, "$.top_k")
+    error = (
+        F.when(raw == "", "empty").when(F.get_json_object(raw, "$").isNull(), "invalid JSON")
+        .when(e.isNull() | F.coalesce(F.exists(e, lambda x: x.isNull()), F.lit(False)), "no embedding").when(F.size(e) != dim, "wrong dimension")
+        .when(given.isNotNull() & ~given.rlike(r"^-?\d+$"), "invalid top_k")
+    )
+    return requests.select("*", e.alias("embedding"), F.coalesce(F.when(k.rlike(r"^-?\d+$"), k.cast("int")), F.lit(default_k)).alias("top_k"), error.alias("error"))

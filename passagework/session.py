@@ -62,6 +62,21 @@ def materialize(df: DataFrame, name: str = "step") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def write_shared(spark: SparkSession, name: str, content: bytes) -> str:
+    """Write a small file in the shared folder; its path. It goes when the process ends."""
+    path = f"{shared_dir(spark)}/tables/{name}"
+    if not _written:
+        atexit.register(_remove_all)
+    _written.append((spark, path))
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    out = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(target, True)
+    try:
+        out.write(content)
+    finally:
+        out.close()
+    return path
+
+
 def release(df: DataFrame) -> None:
     """Delete the files of a table made by :func:`materialize` once nothing reads it any more."""
     for name in df.inputFiles()[:1]:

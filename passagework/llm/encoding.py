@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import os
-import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 from ..operators.keyed import once_per_key
-from ..session import table
+from ..session import table, write_shared
 from . import lexicon
 
 #: Where the vocabulary files lie; they are never copied into the repository.
@@ -31,10 +31,8 @@ def ship_lexicon(spark: SparkSession, vocabulary: str) -> str:
     if key not in _shipped:
         ranks = lexicon.load_ranks(vocabulary)
         automaton = lexicon.build({w: lexicon.merge(w, ranks) for w in lexicon.frequent_words(ranks)})
-        folder = tempfile.mkdtemp(prefix="lexicon-")
-        name = f"{os.path.basename(vocabulary)}.{os.path.basename(folder)}.fst"
-        lexicon.save(automaton, os.path.join(folder, name))
-        spark.sparkContext.addFile(os.path.join(folder, name))
+        name = f"{os.path.basename(vocabulary)}.{uuid.uuid4().hex}.fst"
+        spark.sparkContext.addFile(write_shared(spark, name, lexicon.dump(automaton)))
         spark.sparkContext.addFile(vocabulary)
         _shipped[key] = name
     return _shipped[key]

@@ -119,13 +119,12 @@ def build(words: dict[bytes, list[int]]) -> dict[str, np.ndarray]:
     }
 
 
-def save(automaton: dict[str, np.ndarray], path: str) -> None:
-    """One file: the arrays' lengths, then the arrays, each at a multiple of eight bytes."""
-    with open(path, "wb") as f:
-        f.write(np.array([automaton[p].nbytes for p in _PARTS], np.int64).tobytes())
-        for p in _PARTS:
-            f.write(automaton[p].tobytes())
-            f.write(b"\0" * (-automaton[p].nbytes % 8))
+def dump(automaton: dict[str, np.ndarray]) -> bytes:
+    """The arrays' lengths, then the arrays, each at a multiple of eight bytes."""
+    parts = [np.array([automaton[p].nbytes for p in _PARTS], np.int64).tobytes()]
+    for p in _PARTS:
+        parts += [automaton[p].tobytes(), b"\0" * (-automaton[p].nbytes % 8)]
+    return b"".join(parts)
 
 
 class Lexicon:

@@ -197,7 +197,7 @@ def test_lexicon(tmp_path):
     rng = random.Random(1)
     words = {"".join(rng.choices("abc", k=rng.randrange(1, 7))).encode(): [rng.randrange(100) for _ in range(rng.randrange(1, 4))] for _ in range(300)}
     automaton = lexicon.build(words)
-    lexicon.save(automaton, str(tmp_path / "l"))
+    (tmp_path / "l").write_bytes(lexicon.dump(automaton))
     mapped = lexicon.Lexicon(str(tmp_path / "l"))
     assert len(mapped) == len(words) and all(mapped.ids(w) == ids for w, ids in words.items())
     assert [mapped.number(w) for w in sorted(words)] == list(range(len(words)))

@@ -70,7 +70,7 @@ def test_ends():
 def test_corpus_decides_open_ends(spark):
     page = "Office of Anymore records"
     rows = [(i, f"The bank may sign form {i}.\n{page}", "d") for i in range(6)]
-    rows += [(10, "The remaining dividend\nelection goes out.", "d"), (11, "Opening paragraph ends here.\n\nThe remaining divid", "d"), (12, "Account opening fees", "d"), (13, "The bank may not.\n\nIn rare cases, the", "d"), (12, "Account opening fees", "d")]
+    rows += [(10, "The remaining dividend\nelection goes out with fees.", "d"), (11, "Opening paragraph ends here.\n\nThe remaining divid", "d"), (12, "Account opening fees", "d"), (13, "The bank may not.\n\nIn rare cases, the", "d"), (12, "Account opening fees", "d")]
     rows += [(14, "The remaining dividend election goes to the desk with fees and all fees paid.", "e"), (15, None, None), (None, "The bank may", "d")]
     snippets = spark.createDataFrame([(1, "The remaining dividend elec", None), (2, None, "d"), (3, "", "d"), (4, "The bank may sign…", "d"), (4, "The bank may sign…", "d")], "source_id long, snippet string, doc string")
     got = {(r.origin, r.record_id): r.cause for r in truncation.find(chunks(spark, rows), snippets).collect()}

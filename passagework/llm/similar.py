@@ -23,6 +23,8 @@ BANDS, ROWS = 50, 5
 SCREEN, SCREEN_LEAST = 64, 23
 #: Members up to which all pairs of a bucket are candidates, and further values by which larger buckets are divided.
 SMALL_BUCKET, REFINEMENTS = 48, 12
+#: Members of a block, and rows of a partition, where a divided part is compared block against block.
+BLOCK, BLOCK_ROWS = 1024, 40_000
 #: A sample of one in so many texts shows which buckets are hot: those it finds so many times.
 HOT_SAMPLE, HOT_SEEN = 64, 32
 _PRIME_SEED = 77_003
@@ -117,9 +119,11 @@ def links(texts: DataFrame, similarity: float = LEAST_SIMILARITY) -> DataFrame:
     2. Pairs of a bucket are candidates. A bucket of more than ``SMALL_BUCKET`` members gives the
        pairs with its least member and is divided by each of ``REFINEMENTS`` further values, in
        whose buckets the same holds again: texts of similarity 0.6 miss all of those with a
-       chance of 0.4^12, so none but those in buckets whose members agree on six values, and
-       hence are alike, depend on the least member.
+       chance of 0.4^12.
     3. Candidates are screened by 64 one-byte values and then verified by their whole sets of shingles.
+    4. A divided bucket that is still large, and whose members the links of step 3 don't all connect,
+       is compared whole (:func:`_across`): what its members agree on may be a template's words only.
+       Of two components that are alike there, one link is given.
 
     A bucket that may hold a large share of the rows shows in a sample of the texts; its rows
     take another path, where the least member is found by a combined aggregation and joined
@@ -184,8 +188,10 @@ def links(texts: DataFrame, similarity: float = LEAST_SIMILARITY) -> DataFrame:
     if apart is not None:
         candidates = candidates.unionByName(apart.filter("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b")))
         divide = divide.unionByName(apart.select("key", "id"))
+    parts = large = None
     if divide.limit(1).count():
-        candidates = candidates.unionByName(_divided(texts, divide))
+        parts, large, divided = _divided(texts, divide)
+        candidates = candidates.unionByName(divided)
 
     screens = pieces.filter("s is not null").select(F.col("a").alias("id"), "s")
 
@@ -210,11 +216,15 @@ def links(texts: DataFrame, similarity: float = LEAST_SIMILARITY) -> DataFrame:
             yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
     both = likely.join(involved.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a").join(involved.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
-    return both.select("a", "b", "ta", "tb").mapInArrow(verified, "a long, b long")
+    linked = both.select("a", "b", "ta", "tb").mapInArrow(verified, "a long, b long")
+    if large is None or not large.limit(1).count():
+        return linked
+    linked = materialize(linked, "linked")
+    return linked.unionByName(_across(texts, linked, parts, large, similarity))
 
 
-def _divided(texts: DataFrame, divide: DataFrame) -> DataFrame:
-    """Candidates from large buckets, each divided by further min-max values."""
+def _divided(texts: DataFrame, divide: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The parts of large buckets, divided by further min-max values, those parts that are still large, and candidates."""
 
     def further(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -232,11 +242,11 @@ def _divided(texts: DataFrame, divide: DataFrame) -> DataFrame:
         .select(F.xxhash64("key", "at", "value").alias("key"), "id")
     )
     parts = materialize(parts, "divided")
-    # what is alike in six values is joined to its least member, by combined aggregations; small parts give all pairs
+    # large parts are joined to their least member, by combined aggregations; small parts give all pairs
     sizes = parts.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("hub")).filter("n > 1")
     sizes = materialize(sizes, "parts")
-    large = sizes.filter(F.col("n") > SMALL_BUCKET).select("key", "hub")
-    stars = join_bounded(parts, large, ["key"], F.col("id")).filter("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b"))
+    large = sizes.filter(F.col("n") > SMALL_BUCKET)
+    stars = join_bounded(parts, large.select("key", "hub"), ["key"], F.col("id")).filter("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b"))
     few = join_bounded(parts, sizes.filter(F.col("n") <= SMALL_BUCKET).select("key"), ["key"], F.col("id"), "left_semi")
 
     def paired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -245,7 +255,86 @@ def _divided(texts: DataFrame, divide: DataFrame) -> DataFrame:
             a, b, _ = bucket_pairs(keys, ids)
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    return stars.unionByName(few.repartition("key").mapInArrow(paired, "a long, b long"))
+    return parts, large.select("key", "n"), stars.unionByName(few.repartition("key").mapInArrow(paired, "a long, b long"))
+
+
+def links_of_block(ids: np.ndarray, labels: np.ndarray, sets: list[np.ndarray], first: np.ndarray, second: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """For each two labels, one pair of a row in ``first`` and a row in ``second`` that are alike, by all their shingles."""
+    size = np.array([len(s) for s in sets])
+    _, column, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    row, column = np.repeat(np.arange(len(sets)), size), np.where(times > 1, np.cumsum(times > 1) - 1, -1)[column]
+    row, column = row[column >= 0], column[column >= 0]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    common = np.zeros((len(first), len(second)), np.float32)
+    # shingles by slices, so that the matrix stays small
+    for start in range(0, int(column[-1]) + 1 if len(column) else 0, 2 * BLOCK):
+        lo, hi = np.searchsorted(column, [start, start + 2 * BLOCK])
+        has = np.zeros((len(sets), 2 * BLOCK), np.float32)
+        has[row[lo:hi], column[lo:hi] - start] = 1
+        common += has[first] @ has[second].T
+    either = size[first][:, None] + size[second][None, :] - common.astype(np.float64)
+    x, y = np.nonzero((common >= (similarity - 1e-12) * either) & (labels[first][:, None] != labels[second][None, :]))
+    x, y = first[x], second[y]
+    _, one = np.unique(np.stack([np.minimum(labels[x], labels[y]), np.maximum(labels[x], labels[y])], 1), axis=0, return_index=True)
+    return ids[x[one]], ids[y[one]]
+
+
+def _across(texts: DataFrame, linked: DataFrame, parts: DataFrame, large: DataFrame, similarity: float) -> DataFrame:
+    """``(a, b)``: links between members of a large part that ``linked`` doesn't connect.
+
+    Members of one component need no comparison. A part with members of several is divided into
+    salted blocks, and every block is compared with every other by whole sets of shingles, so a
+    part with a large share of the rows is the work of many tasks. Parts of the same members
+    are compared once.
+    """
+    labels = materialize(connected_components(linked).select(F.col("node").alias("id"), F.col("component").alias("label")), "labels")
+    member = join_bounded(parts, large, ["key"], F.col("id")).join(labels, "id", "left").select("key", "n", "id", F.coalesce("label", "id").alias("label"))
+    member = materialize(member, "across")
+    mixed = (
+        member.groupBy("key", "n").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.bit_xor(F.xxhash64("id")).alias("_print"), F.sum(F.col("id").cast("decimal(38,0)")).alias("_sum"))
+        .filter("lo < hi").groupBy("n", "_print", "_sum").agg(F.min("key").alias("key")).select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("_blocks"))
+    )
+    mixed = materialize(mixed, "mixed")
+    open_ = materialize(join_bounded(member.select("key", "id", "label"), mixed, ["key"], F.col("id")), "open")
+    total = open_.agg(F.sum("_blocks")).first()[0]
+    spark = texts.sparkSession
+    if not total:
+        return spark.createDataFrame([], "a long, b long")
+
+    def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            all_ids, all_texts = np.asarray(batch.column("id")), batch.column("text").to_pylist()
+            for part in by_size(all_texts):
+                ids, shingles, per_text = _shingled(all_ids[part], all_texts[part])
+                if len(ids):
+                    sets = [np.unique(s).tobytes() for s in np.split(shingles, np.cumsum(per_text)[:-1])]
+                    yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sets, pa.binary())], ["id", "s"])
+
+    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = [b for b in batches if b.num_rows]
+        if not rows:
+            return
+        whole = pa.Table.from_batches(rows)
+        key, i, j, own, ids, labels = (whole.column(c).to_numpy() for c in ("key", "i", "j", "own", "id", "label"))
+        order = np.lexsort((own, j, i, key))
+        new = (np.diff(key[order]) != 0) | (np.diff(i[order]) != 0) | (np.diff(j[order]) != 0)
+        for at in np.split(order, np.flatnonzero(new) + 1):
+            first, second = np.flatnonzero(own[at] == i[at]), np.flatnonzero(own[at] == j[at])
+            if not len(first) or not len(second) or labels[at].min() == labels[at].max():
+                continue
+            sets = [np.frombuffer(s, np.uint64) for s in whole.column("s").take(pa.array(at)).to_pylist()]
+            a, b = links_of_block(ids[at], labels[at], sets, first, second, similarity)
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b), pa.int64()), pa.array(np.maximum(a, b), pa.int64())], ["a", "b"])
+
+    sets = semi_or_anti(texts, open_.select("id").distinct(), ["id"], "left_semi").mapInArrow(shingled, "id long, s binary")
+    blocks = (
+        open_.join(sets, "id").withColumn("own", F.pmod(F.xxhash64("id", F.lit(_PRIME_SEED)), F.col("_blocks")).cast("int"))
+        .withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
+        .select("key", F.least("own", "_other").alias("i"), F.greatest("own", "_other").alias("j"), "own", "id", "label", "s")
+    )
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // BLOCK_ROWS))
+    return blocks.repartition(n, "key", "i", "j").mapInArrow(compared, "a long, b long").distinct()
 
 
 def alike(x: str, y: str) -> float:

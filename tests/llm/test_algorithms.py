@@ -158,6 +158,20 @@ def test_bucket_pairs():
     assert set(zip(a.tolist(), b.tolist(), strict=True)) == {(0, i) for i in range(1, 5)} and large.all()
 
 
+def test_pairs_among_texts_of_one_template(spark):
+    template, rows, want = " ".join(f"t{i}" for i in range(100)), [], {}
+    for i in range(1500):
+        own = [f"o{i}x{k}" for k in range(36)]
+        if i % 25 == 24:
+            # like the text before, but like no other
+            own[:6] = [f"o{i - 1}x{k}" for k in range(6)]
+            want |= {i - 1: i - 1, i: i - 1}
+        rows.append((i, template + " " + " ".join(own)))
+    assert similar.alike(rows[23][1], rows[24][1]) >= 0.6 > 0.59 > similar.alike(rows[0][1], rows[24][1])
+    got = grouped(spark, rows)
+    assert got.items() <= want.items() and len(got) >= 0.95 * len(want)
+
+
 def test_groups_of_nothing(spark):
     assert grouped(spark, [(1, None)]) == {}
 

@@ -88,9 +88,11 @@ def near_in_leaf(sketches: np.ndarray, radius2: float, k: int, confidence: float
     Neighbours of a point come in the order of projected distance. The search stops where the
     test holds that a farther one is within ``radius2`` with a probability below 1 - confidence;
     if ``4 k`` neighbours came before, also where none farther is likely to be nearer than the
-    k-th, since a projected distance is off by no more than the spread of the chi-square.
+    k-th, since a projected distance is off by no more than the spread of the chi-square. Both
+    bounds allow for rounding to the steps, which is all there is between vectors closer than a step.
     """
-    bound = radius2 * chi_square(confidence, SKETCH) / SKETCH + SKETCH * 2 * (6 / SKETCH**0.5 / (1 << BITS)) ** 2 / 12
+    rounding = SKETCH * 2 * (6 / SKETCH**0.5 / (1 << BITS)) ** 2 / 12
+    bound = radius2 * chi_square(confidence, SKETCH) / SKETCH + rounding
     spread = chi_square(0.99, SKETCH) / chi_square(0.01, SKETCH)
     norms = (sketches**2).sum(1)
     for start in range(0, len(sketches), block):
@@ -100,7 +102,7 @@ def near_in_leaf(sketches: np.ndarray, radius2: float, k: int, confidence: float
         full = np.flatnonzero(close.sum(1) > 4 * k + 1)
         for row in full:
             kth = np.partition(d2[row], k + 1)[k + 1]
-            close[row] &= d2[row] <= max(kth, 0) * spread
+            close[row] &= d2[row] <= max(kth, 0) * spread + rounding
         i, j = np.nonzero(close)
         i += start
         keep = i != j

@@ -70,6 +70,17 @@ def test_chi_square_and_sketches():
     assert np.abs(neighbours.dequantize(neighbours.quantize(sketch)) - np.clip(sketch, -8 * step, 8 * step)).max() <= step / 2 + 1e-6
 
 
+def test_neighbours_closer_than_a_step():
+    rng = np.random.default_rng(4)
+    x = rng.standard_normal(384) + 0.01 * rng.standard_normal((600, 384))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    sketches = neighbours.dequantize(neighbours.quantize(x.astype(np.float32) @ neighbours.projections(384, 1)[0]))
+    got = {p for i, j in neighbours.near_in_leaf(sketches, 0.5, 10) for p in zip(i.tolist(), j.tolist(), strict=True)}
+    cosine = x @ x.T - 2 * np.eye(600)
+    want = [(min(i, j), max(i, j)) for i in range(600) for j in np.argsort(-cosine[i])[:10].tolist()]
+    assert sum(p in got for p in want) >= 0.9 * len(want)
+
+
 def test_tree_leaves_are_even():
     points = np.random.default_rng(3).standard_normal((4096, 8)).astype(np.float32)
     points[:1400] = points[0] + 1e-3 * points[:1400]

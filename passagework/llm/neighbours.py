@@ -18,6 +18,8 @@ from ..session import materialize, table
 SKETCH, BITS = 128, 4
 #: Trees, the coordinates each has to split on, and the vectors a leaf holds on average, at most.
 TREES, COORDINATES, LEAF = 12, 16, 2048
+#: Vectors a leaf holds on average, at most, where neighbours of any cosine are sought.
+WIDE_LEAF = 8192
 #: Vectors on whose projections the trees' splits are fitted; every vector is put into every tree.
 FIT_ON = 1 << 16
 #: Confidence of the chi-square stopping test.
@@ -109,6 +111,23 @@ def near_in_leaf(sketches: np.ndarray, radius2: float, k: int, confidence: float
         yield np.minimum(i[keep], j[keep]), np.maximum(i[keep], j[keep])
 
 
+def nearest_in_leaf(x: np.ndarray, k: int, block: int = 256) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """``(i, j, cosine)``: each of a leaf's unit vectors with its ``k`` nearest, whatever their cosine; ties go to the smaller ``j``."""
+    for start in range(0, len(x), block):
+        part = x[start : start + block]
+        own = np.arange(start, start + len(part))
+        rough = part @ x.T
+        rough[np.arange(len(part)), own] = -np.inf
+        # a few more than k, since single precision orders them only roughly
+        most = min(k + 6, len(x) - 1)
+        if most < 1:
+            return
+        j = np.sort(np.argpartition(-rough, most - 1, axis=1)[:, :most], 1)
+        cosine = np.einsum("id,ijd->ij", part.astype(np.float64), x[j].astype(np.float64))
+        best = np.argsort(-cosine, axis=1, kind="stable")[:, :k]
+        yield np.repeat(own, best.shape[1]), np.take_along_axis(j, best, 1).ravel(), np.take_along_axis(cosine, best, 1).ravel()
+
+
 def _matrix(column: pa.Array, dim: int) -> np.ndarray:
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     return np.asarray(column.flatten(), np.float32).reshape(-1, dim)
@@ -124,8 +143,8 @@ def usable(vectors: DataFrame, dim: int, key: str, embedding: str) -> DataFrame:
     )
 
 
-def neighbours(vectors: DataFrame, k: int = 10, min_cosine: float = 0.75, dim: int = 384, key: str = "chunk_index", embedding: str = "embedding",
-               trees: int = TREES, leaf: int = LEAF, confidence: float = CONFIDENCE) -> DataFrame:
+def neighbours(vectors: DataFrame, k: int = 10, min_cosine: float | None = 0.75, dim: int = 384, key: str = "chunk_index", embedding: str = "embedding",
+               trees: int = TREES, leaf: int | None = None, confidence: float = CONFIDENCE) -> DataFrame:
     """``(key, neighbour, cosine)``: up to ``k`` most similar others of each usable vector, of at least ``min_cosine``.
 
     Each vector is projected by stable (Gaussian) projections to a sketch and to the coordinates of
@@ -139,8 +158,11 @@ def neighbours(vectors: DataFrame, k: int = 10, min_cosine: float = 0.75, dim: i
     third of the rows costs no more than any other; of each group the first ``k + 1`` keys are
     neighbours for all its members. Ties go to the smaller key. Null, short, all-zero and
     non-finite vectors take no part; a repeated key comes once; rows with a null key are dropped.
-    Below ``min_cosine`` nothing is sought: there the projected order says little.
+    Below ``min_cosine`` nothing is sought: there the projected order says little. If it is None, every
+    vector gets its ``k`` neighbours whatever their cosine: the trees have wider leaves, the vectors
+    themselves are shuffled, and each leaf is searched by exact cosines.
     """
+    leaf = leaf or (WIDE_LEAF if min_cosine is None else LEAF)
     spark = vectors.sparkSession
     rows = once_per_key(usable(vectors, dim, key, embedding).withColumnRenamed(key, "id").withColumnRenamed(embedding, "v"), "id")
     rows = rows.select("id", "v", F.xxhash64("v").alias("h"))
@@ -204,23 +226,58 @@ def neighbours(vectors: DataFrame, k: int = 10, min_cosine: float = 0.75, dim: i
                     a, b = ids[group[i]], ids[group[j]]
                     yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
 
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n * trees // ROWS_AT_ONCE))
-    placed = single.select(F.col("id").cast("long").alias("id"), "v").mapInArrow(place, "leaf long, id long, s binary").repartition(parts, "leaf")
-    pairs = materialize(placed.mapInArrow(search, "a long, b long").distinct(), "pairs")
-
-    ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-    involved = semi_or_anti(single.select(F.col("id").cast("long").alias("id"), "v"), ids, ["id"], "left_semi")
-    both = pairs.join(involved.select(F.col("id").alias("a"), F.col("v").alias("va")), "a").join(involved.select(F.col("id").alias("b"), F.col("v").alias("vb")), "b")
-
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def place_whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _, coordinates, fitted = shared.value
         for batch in batches:
-            x, y = _matrix(batch.column("va"), dim).astype(np.float64), _matrix(batch.column("vb"), dim).astype(np.float64)
-            cosine = np.einsum("ij,ij->i", x, y) / np.sqrt(np.einsum("ij,ij->i", x, x) * np.einsum("ij,ij->i", y, y))
-            good = cosine >= min_cosine
-            yield pa.RecordBatch.from_arrays([batch.column("a").filter(pa.array(good)), batch.column("b").filter(pa.array(good)), pa.array(cosine[good])], ["a", "b", "c"])
+            if not batch.num_rows:
+                continue
+            points = (unit(batch) @ coordinates).reshape(batch.num_rows, trees, COORDINATES)
+            for t in range(len(fitted) or 1):
+                leaves = leaf_of(points[:, t], fitted[t], depth) if fitted else np.zeros(len(points), np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array((t << 40) + leaves, pa.int64()), batch.column("id"), batch.column("v")], ["leaf", "id", "v"])
 
-    links = both.select("a", "b", "va", "vb").mapInArrow(verify, "a long, b long, c double")
-    nearest = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"), "c"))
+    def search_whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = [(np.asarray(b.column("leaf")), np.asarray(b.column("id")), unit64(b)) for b in batches if b.num_rows]
+        if not parts:
+            return
+        leaves, ids, x = (np.concatenate([p[c] for p in parts]) for c in range(3))
+        del parts
+        order = np.lexsort((ids, leaves))
+        for group in np.split(order, np.flatnonzero(np.diff(leaves[order])) + 1):
+            for i, j, cosine in nearest_in_leaf(x[group], k):
+                yield pa.RecordBatch.from_arrays([pa.array(ids[group[i]]), pa.array(ids[group[j]]), pa.array(cosine)], ["a", "b", "c"])
+
+    def unit64(batch: pa.RecordBatch) -> np.ndarray:
+        x = _matrix(batch.column("v"), dim).astype(np.float64)
+        return (x / np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]).astype(np.float32)
+
+    def within_bound() -> DataFrame:
+        """Links both ways of at least ``min_cosine``."""
+        parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n * trees // ROWS_AT_ONCE))
+        placed = single.select(F.col("id").cast("long").alias("id"), "v").mapInArrow(place, "leaf long, id long, s binary").repartition(parts, "leaf")
+        pairs = materialize(placed.mapInArrow(search, "a long, b long").distinct(), "pairs")
+
+        ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
+        involved = semi_or_anti(single.select(F.col("id").cast("long").alias("id"), "v"), ids, ["id"], "left_semi")
+        both = pairs.join(involved.select(F.col("id").alias("a"), F.col("v").alias("va")), "a").join(involved.select(F.col("id").alias("b"), F.col("v").alias("vb")), "b")
+
+        def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                x, y = _matrix(batch.column("va"), dim).astype(np.float64), _matrix(batch.column("vb"), dim).astype(np.float64)
+                cosine = np.einsum("ij,ij->i", x, y) / np.sqrt(np.einsum("ij,ij->i", x, x) * np.einsum("ij,ij->i", y, y))
+                good = cosine >= min_cosine
+                yield pa.RecordBatch.from_arrays([batch.column("a").filter(pa.array(good)), batch.column("b").filter(pa.array(good)), pa.array(cosine[good])], ["a", "b", "c"])
+
+        links = both.select("a", "b", "va", "vb").mapInArrow(verify, "a long, b long, c double")
+        return links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"), "c"))
+
+    if min_cosine is None:
+        # a partition holds a few leaves; links of all trees are united
+        parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), trees << depth)
+        placed = single.select(F.col("id").cast("long").alias("id"), F.col("v").cast("array<float>").alias("v")).mapInArrow(place_whole, "leaf long, id long, v array<float>").repartition(parts, "leaf")
+        nearest = placed.mapInArrow(search_whole, "a long, b long, c double").groupBy("a", "b").agg(F.max("c").alias("c"))
+    else:
+        nearest = within_bound()
     if not n_groups:
         found = nearest
     else:
@@ -247,7 +304,7 @@ def found(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p2_found": found,
-    "p2_neighbours": lambda spark, d: neighbours(table(spark, d, "document_chunks")),
+    "p2_neighbours": lambda spark, d: neighbours(table(spark, d, "document_chunks"), min_cosine=None),
 }
 SQL: dict[str, str] = {
     "p2_found": """WITH idx AS MATERIALIZED (SELECT DISTINCT ON (chunk_index) chunk_index, CAST(embedding AS DOUBLE[]) AS v FROM document_chunks

@@ -44,6 +44,16 @@ def test_neighbours_equal_brute_force(spark):
     assert max(Counter(i for i, _ in got).values()) <= 3
 
 
+def test_neighbours_whatever_their_cosine(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i, rng.standard_normal(16).round(4).tolist()) for i in range(300)]
+    rows += [(400 + i, rows[7][1]) for i in range(3)] + [(500, None), rows[5]]
+    got, want = near(spark, rows, k=3, min_cosine=None, leaf=100), brute_near(rows, 3, -1)
+    # each has all its places, also where nothing is near
+    assert set(Counter(i for i, _ in got).values()) == {3} and len(got) == len(want)
+    assert len(got.keys() & want.keys()) / len(want) >= 0.95 and all(abs(c - want[p]) < 1e-5 for p, c in got.items() if p in want)
+
+
 def test_a_third_of_the_vectors_are_equal(spark):
     rng = np.random.default_rng(2)
     rows = clustered(200, rng) + [(1000 + i, [1.0] * 16) for i in range(100)] + [(2000 + i, [1.0] * 15 + [1.1]) for i in range(3)]

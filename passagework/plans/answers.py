@@ -46,6 +46,39 @@ def with_passages(spark: SparkSession, d: str) -> DataFrame:
     return q.join(found, q["id"] == found["question_id"], "left").drop("question_id")
 
 
+def requests(spark: SparkSession, d: str) -> DataFrame:
+    """Every request, with its passages: a question and when it was answered, also if that is null; questions never asked come once."""
+    s = once_per_key(table(spark, d, "sources"), "source_id").filter("question_id is not null")
+    s = A.normalize_passages(s.withColumn("_request", F.struct("question_id", "answered_at")))
+    found = A.passages_by_question(s, "_request", "rank_no").select(F.col("_request.question_id").alias("question_id"), F.col("_request.answered_at").alias("answered_at"), "passages")
+    q = once_per_key(table(spark, d, "qa_cases"), "id")
+    asked = found.join(F.broadcast(q), q["id"] == found["question_id"]).drop("question_id")
+    never = q.join(found.select("question_id").distinct(), q["id"] == F.col("question_id"), "left_anti")
+    asked = asked.unionByName(never, allowMissingColumns=True)
+    return asked.withColumn("request", F.concat("id", F.lit("@"), F.coalesce(F.unix_micros("answered_at").cast("string"), F.lit(""))))
+
+
+def request_prompts(spark: SparkSession, d: str) -> DataFrame:
+    """The prompt of every request."""
+    return requests(spark, d).select("id", "answered_at", F.md5(A.prompt(F.col("question"), F.col("passages"))).alias("digest"), F.coalesce(F.size("passages"), F.lit(0)).alias("passages"))
+
+
+def request_answers(spark: SparkSession, d: str) -> DataFrame:
+    """Answers of the stand-in model to every request."""
+    return A.answer(requests(spark, d), "request").select("id", "answered_at", "answer", F.coalesce(F.size("sources"), F.lit(0)).alias("sources"))
+
+
+def request_checks(spark: SparkSession, d: str) -> DataFrame:
+    """Checks of the answers to all requests, by category."""
+    return A.check_answers(A.answer(requests(spark, d), "request")).groupBy("category").agg(F.count("*").alias("total"), F.count_if("passed").alias("passed"))
+
+
+def request_chats(spark: SparkSession, d: str) -> DataFrame:
+    """The online path over all requests; a question with a digit 7 in its id fails to retrieve."""
+    q = requests(spark, d).withColumn("retrieval_error", F.when(F.col("id").contains("7"), F.lit("timeout")))
+    return A.chat(q, True, "request").select("id", "answered_at", F.md5("answer").alias("answer"), F.coalesce(F.size("sources"), F.lit(0)).alias("sources"))
+
+
 def prompts(spark: SparkSession, d: str) -> DataFrame:
     """The prompt of every question."""
     return with_passages(spark, d).select("id", F.md5(A.prompt(F.col("question"), F.col("passages"))).alias("digest"), F.coalesce(F.size("passages"), F.lit(0)).alias("passages"))
@@ -97,6 +130,7 @@ _ANSWER = f"CASE WHEN {_BLANK} THEN {_quoted(A.INVALID_QUESTION)} WHEN passages
 _ADMITS = "(" + " OR ".join(f"contains(lower(answer), {_quoted(p)})" for p in A.INSUFFICIENT_PHRASES) + ")"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "rag_passages": normalized, "rag_source_rollup": rollup, "rag_known_documents": known, "rag_prompts": prompts, "rag_answers": answered, "rag_checks": checked, "rag_chat": chats,
+    "rag_request_prompts": request_prompts, "rag_request_answers": request_answers, "rag_request_checks": request_checks, "rag_request_chat": request_chats,
     "src_cache_status": cache, "src_cache_stats": lambda spark, d: readers.cache_stats(cache(spark, d)), "src_index_load": round_trip,
 }
 SQL: dict[str, str] = {

@@ -131,6 +131,21 @@ def test_cache(spark, tmp_path):
     assert {r.source_document: r.cache_status for r in readers.probe_cache(manifest, entries).collect()} == {"a": "hit", "b": "invalid", "c": "miss"}
 
 
+def test_every_request_is_answered(spark, tmp_path):
+    from passagework.plans import answers as plans
+
+    at = ["2026-01-01 00:00:00", "2026-01-02 00:00:00", None]
+    rows = [(n, "q1", n % 2, "d.pdf", 1, f"text {n}", 0.5, at[n // 2]) for n in range(6)] + [(6, None, 1, "d.pdf", 1, "x", 0.5, at[0]), (0, "q1", 0, "d.pdf", 1, "text 0", 0.5, at[0])]
+    schema = "source_id long, question_id string, rank_no int, doc string, page int, snippet string, score double, answered_at string"
+    spark.createDataFrame(rows, schema).withColumn("answered_at", F.col("answered_at").cast("timestamp")).write.parquet(f"{tmp_path}/sources.parquet")
+    spark.createDataFrame([("q1", "fees", "What fee?", ""), ("q2", "fees", "Never asked?", "")], "id string, category string, question string, expected_behavior string").write.parquet(f"{tmp_path}/qa_cases.parquet")
+    got = [(r.id, str(r.answered_at), r.passages) for r in plans.QUERIES["rag_request_prompts"](spark, str(tmp_path)).collect()]
+    assert sorted(got) == [("q1", "2026-01-01 00:00:00", 2), ("q1", "2026-01-02 00:00:00", 2), ("q1", "None", 2), ("q2", "None", 0)]
+    for name in ("rag_request_answers", "rag_request_chat"):
+        assert sorted(r.sources for r in plans.QUERIES[name](spark, str(tmp_path)).collect()) == [0, 2, 2, 2]
+    assert [r.total for r in plans.QUERIES["rag_request_checks"](spark, str(tmp_path)).collect()] == [4]
+
+
 def test_rollups(spark):
     s = spark.createDataFrame([("q", "d", None, 4, 0.5, 2), ("q", "d", "§1", 3, 0.9, 1)], "q string, source_document string, section string, page_number int, score double, rank int")
     assert tuple(A.source_rollup(s, ["q"], "rank").first()) == ("q", "d", "§1, §4", 0.9)

@@ -42,7 +42,8 @@ def examine(text: str | None) -> tuple[str, str, str, str]:
 
     ``state`` is ``whole``; ``marked``, if a mark of omission stands for the rest; ``running``,
     if a sentence of running text has no end; or ``open``, if the last line can also be a title,
-    an item or a page line. ``line`` is the last line, ``tail`` what follows the last end of a
+    an item or a page line. A ``whole`` item or table row that ends in a word has its ``word`` too:
+    it is complete without a stop, unless it stops inside a word. ``line`` is the last line, ``tail`` what follows the last end of a
     sentence in it, and ``word`` the last word if the text ends in one.
     """
     bare = (text or "").rstrip()
@@ -60,10 +61,12 @@ def examine(text: str | None) -> tuple[str, str, str, str]:
         by_line.pop()
     line, kind = by_line[-1]
     line = line.strip()
-    if kind in ("junk", "table"):
+    if kind == "junk":
         return "whole", line, "", ""
     word = _LETTERS.search(line)
     word = word[0] if word else ""
+    if kind == "table":
+        return "whole", line, line, word
     if mark and (kind == "text" or not _MARK.match(line)):
         return "marked", line, line, word
     if _ENDED.search(line):
@@ -107,6 +110,8 @@ def _examined(values: DataFrame) -> DataFrame:
                     continue
                 seen.update(set(text.lower().translate(_SIGNS).split()[:-1]))
                 state, line, tail, word = examine(text)
+                if state == "whole" and word:
+                    state = "item"
                 if state != "whole":
                     rows.append((origin, record, source, state, line, tail, word, 1))
             if rows:
@@ -136,6 +141,8 @@ def find(chunks: DataFrame, snippets: DataFrame) -> DataFrame:
     * else the self-join by prefix decides: every line and sentence of the chunks is hashed by
       prefixes of fixed lengths and joined with the tails; a tail that is a strict prefix of
       longer copies and nowhere a whole line is cut, one that is a whole line elsewhere is not;
+    * an item or a table row is cut only if it stops inside a word: its longer copies go on with a
+      letter or digit, or its last word is one of the next rule;
     * else a value is cut whose last word stands nowhere else in the corpus as a whole word, or
       is one after which nothing can end.
 
@@ -161,7 +168,7 @@ def find(chunks: DataFrame, snippets: DataFrame) -> DataFrame:
     )
 
     # only what neither a mark, nor running text, nor a page line settles is joined with the corpus
-    unsettled = ends.filter("state = 'open'").join(pages, ["source", "_form"], "left_anti")
+    unsettled = ends.filter("state in ('open', 'item')").join(pages, ["source", "_form"], "left_anti")
     lengths = [F.when(F.length("tail") >= n, n) for n in reversed(PREFIXES)]
     tails = unsettled.select("tail", F.coalesce(*lengths).alias("_length")).filter(F.col("_length").isNotNull()).distinct()
     tails = materialize(tails.withColumn("_prefix", F.xxhash64(F.expr("substring(tail, 1, _length)"), "_length")), "tails")
@@ -175,10 +182,11 @@ def find(chunks: DataFrame, snippets: DataFrame) -> DataFrame:
             # a longer number is no longer copy
             F.count_if(rest.rlike(r"[^\d\s]")).alias("longer"),
             F.count_if(F.trim(rest) == "").alias("equal"),
+            F.count_if(rest.rlike(r"^\p{L}")).alias("inside"),
         )
     )
     known = examined.filter(F.col("state").isNull()).groupBy("word").agg(F.sum("n").alias("seen")).filter("seen >= 2")
-    last = ends.filter("state = 'open'").select(F.lower("word").alias("_word")).distinct()
+    last = ends.filter("state in ('open', 'item')").select(F.lower("word").alias("_word")).distinct()
     known = known.join(last, known["word"] == last["_word"], "left_semi").select(F.col("word").alias("_word"), F.lit(True).alias("_known"))
 
     judged = (
@@ -193,7 +201,7 @@ def find(chunks: DataFrame, snippets: DataFrame) -> DataFrame:
         .when(F.col("_page"), None)
         .when(F.col("state") == "running", "sentence")
         .when(unfinished, "unfinished")
-        .when((longer > 0) & (equal <= 0), "longer copy")
+        .when((F.when(F.col("state") == "item", F.coalesce("inside", F.lit(0))).otherwise(longer) > 0) & (equal <= 0), "longer copy")
         .when((equal > 0) & (longer == 0), None)
         .when(F.col("_known").isNull() & (F.col("word") != "") & (F.col("word") == F.lower("word")), "unknown word")
     )

@@ -17,7 +17,7 @@ from .lines import normal_form
 
 #: Lengths of the prefixes that are hashed to find longer copies; a tail uses the greatest that it has.
 PREFIXES = (12, 16, 24, 32, 48, 64, 96, 128)
-#: Lines from the end in which the kind of the last line shows.
+#: Lines from the end in which the kind of the last line shows, or more, back to a blank line.
 NEAR_LINES = 6
 #: Distinct records of a source in which a last line must stand to be a page line.
 PAGE_LINE_RECORDS = 4
@@ -50,8 +50,12 @@ def examine(text: str | None) -> tuple[str, str, str, str]:
     end = clean(bare[-60:]).rstrip()
     if end and not _OMITTED.search(end) and _ENDED.search(end[-8:]):
         return "whole", "", "", ""
-    # lines further up don't bear on the kind of the last
-    body = clean("\n".join(bare.rsplit("\n", NEAR_LINES)[-NEAR_LINES:])).rstrip()
+    # lines further up than its block don't bear on the kind of the last
+    lines = bare.split("\n")
+    first = max(len(lines) - NEAR_LINES, 0)
+    while first and lines[first - 1].strip() and all(line.strip() for line in lines[-NEAR_LINES:]):
+        first -= 1
+    body = clean("\n".join(lines[first:])).rstrip()
     mark = _OMITTED.search(body)
     bare = body[: mark.start()] if mark else body
     if not bare.strip() or (not mark and _ENDED.search(bare[-8:])):

@@ -80,6 +80,11 @@ def test_corpus_decides_open_ends(spark):
     assert truncation.find(chunks(spark, rows).limit(0), snippets.limit(0)).count() == 0
 
 
+def test_item_wrapped_over_many_lines():
+    text = "- a copy of the form that\n" + "\n".join(f"goes on over line {i} and" for i in range(8)) + "\nends here with the form"
+    assert truncation.examine(text)[0] != "running"
+
+
 def test_items_that_stop_inside_a_word(spark):
     rows = [(i, f"The bank may ask for a copy of the form and the balance in case {i}.", "d") for i in range(3)]
     rows += [(10, "Needed:\n- the original recurring account\n- a copy of the form in case", "d"), (11, "Needed:\n- a copy\n- the origin", "d"), (12, "Needed:\n- a form\n- a copy of the bala", "d"), (13, "Needed:\n- the form\n- the balance of", "d"), (14, "Needed:\n- the form\n- a copy of the form", "d")]

@@ -19,20 +19,22 @@ from .words import numbered, runs, words_of
 SHINGLE, LEAST_WORDS, LEAST_SIMILARITY = 3, 20, 0.6
 #: Bands and values in a band. A pair of similarity s shares a band with probability 1 - (1 - s^5)^50: 0.98 at 0.6, 0.999 at 0.67.
 BANDS, ROWS = 50, 5
-#: Values of one byte by which candidates are screened, and how many must agree: four deviations below what 0.6 gives.
-SCREEN, SCREEN_LEAST = 64, 23
 #: Members up to which all pairs of a bucket are candidates, and further values by which larger buckets are divided.
 SMALL_BUCKET, REFINEMENTS = 48, 12
 #: Members of a block, and rows of a partition, where a divided part is compared block against block.
 BLOCK, BLOCK_ROWS = 1024, 40_000
-#: A sample of one in so many texts shows which buckets are hot: those it finds so many times.
-HOT_SAMPLE, HOT_SEEN = 64, 32
+#: Entries (text, band) of a partition of buckets on average, and entries that a map task packs at once.
+ENTRIES, PACKED_AT_ONCE = 2_000_000, 1_000_000
+#: A bucket is hot from so many members, or from this part of all texts if that is more; a sample of one in so many texts shows it.
+HOT_ROWS, HOT_PART, HOT_SAMPLE = 1_000_000, 10_000, 1024
+#: Members of a block of a group whose pairs one task writes.
+PAIR_BLOCK = 2_000
 _PRIME_SEED = 77_003
 
 
 def _multipliers(n: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
     rng = np.random.default_rng(seed)
-    return rng.integers(0, 2**63, n, dtype=np.uint64) * np.uint64(2) + np.uint64(1), rng.integers(0, 2**63, n, dtype=np.uint64)
+    return rng.integers(0, 2**31, n, dtype=np.uint32) * np.uint32(2) + np.uint32(1), rng.integers(0, 2**32, n, dtype=np.uint32)
 
 
 def minmax(shingles: np.ndarray, per_text: np.ndarray, values: int, seed: int = _PRIME_SEED) -> np.ndarray:
@@ -40,21 +42,25 @@ def minmax(shingles: np.ndarray, per_text: np.ndarray, values: int, seed: int =
 
     Each permutation gives two values, its minimum and its maximum, so half as many permutations
     are evaluated as min-wise hashing needs; for each of the two the chance of agreement is the
-    similarity, and the estimate over both is unbiased with a lower variance.
+    similarity, and the estimate over both is unbiased with a lower variance. Shingles are random
+    numbers already, of which the upper half is permuted.
     """
     some = per_text > 0
     starts = (np.cumsum(per_text) - per_text)[some]
-    out = np.empty((int(some.sum()), values), np.uint32)
-    if not len(out):
-        return out
+    out = np.empty((values, int(some.sum())), np.uint32)
+    if not out.size:
+        return out.T
     a, b = _multipliers((values + 1) // 2, seed)
+    upper = (shingles >> np.uint64(32)).astype(np.uint32)
+    hashed = np.empty_like(upper)
     with np.errstate(over="ignore"):
         for p in range(len(a)):
-            hashed = ((shingles * a[p] + b[p]) >> np.uint64(32)).astype(np.uint32)
-            out[:, 2 * p] = np.minimum.reduceat(hashed, starts)
+            np.bitwise_xor(upper, b[p], out=hashed)
+            np.multiply(hashed, a[p], out=hashed)
+            np.minimum.reduceat(hashed, starts, out=out[2 * p])
             if 2 * p + 1 < values:
-                out[:, 2 * p + 1] = np.maximum.reduceat(hashed, starts)
-    return out
+                np.maximum.reduceat(hashed, starts, out=out[2 * p + 1])
+    return out.T
 
 
 def band_keys(signature: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> np.ndarray:
@@ -78,12 +84,48 @@ def _shingled(ids: np.ndarray, texts: list[str | None]) -> tuple[np.ndarray, np.
     return ids, shingles, per_text
 
 
-def bucket_pairs(keys: np.ndarray, ids: np.ndarray, small: int = SMALL_BUCKET) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Candidate pairs of sorted-out buckets, and a mask of rows in buckets too large for all pairs.
+def pack_entries(keys: np.ndarray, ids: np.ndarray, parts: int) -> Iterator[tuple[int, bytes]]:
+    """``(part, bytes)``: entries by the part that their key belongs to, nine bytes each if the ids lie close enough.
+
+    The upper bits of a key choose the part and the lower 40 are kept, so that two buckets become
+    one by chance only, which costs a comparison and loses nothing.
+    """
+    keys = keys.view(np.uint64)
+    part = ((keys >> np.uint64(40)) % np.uint64(parts)).astype(np.int64)
+    order = np.argsort(part, kind="stable")
+    bounds = np.searchsorted(part[order], np.arange(parts + 1))
+    short = keys[order].view(np.uint8).reshape(-1, 8)[:, :5]
+    ids = ids[order]
+    for p in np.flatnonzero(np.diff(bounds)).tolist():
+        own = ids[bounds[p] : bounds[p + 1]]
+        base = int(own.min())
+        narrow = int(own.max()) - base < 2**32
+        head = np.array([len(own), base, narrow], np.int64).tobytes()
+        yield p, head + short[bounds[p] : bounds[p + 1]].tobytes() + ((own - base).astype(np.uint32) if narrow else own).tobytes()
+
+
+def unpack_entries(part: int, packed: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Keys, with the part in their upper bits, and ids of one row of :func:`pack_entries`."""
+    n, base, narrow = np.frombuffer(packed, np.int64, 3).tolist()
+    keys = np.zeros((n, 8), np.uint8)
+    keys[:, :5] = np.frombuffer(packed, np.uint8, 5 * n, 24).reshape(n, 5)
+    ids = np.frombuffer(packed, np.uint32 if narrow else np.int64, n, 24 + 5 * n).astype(np.int64)
+    return keys.view(np.int64).ravel() | np.int64(part << 40), ids + base if narrow else ids
+
+
+def bucket_pairs(keys: np.ndarray, ids: np.ndarray, small: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Candidate pairs of buckets, and a mask of rows in buckets too large for all pairs.
 
     A larger bucket gives the pairs of its least member with all others only.
     """
-    order = np.lexsort((ids, keys))
+    small = SMALL_BUCKET if small is None else small
+    order = np.argsort(keys, kind="stable")
+    again = np.zeros(len(keys) + 1, bool)
+    again[1:-1] = keys[order][1:] == keys[order][:-1]
+    # most entries are alone in their bucket
+    order = order[again[1:] | again[:-1]]
+    order = order[np.lexsort((ids[order], keys[order]))]
+    mask = np.zeros(len(keys), bool)
     keys, ids = keys[order], ids[order]
     new = np.ones(len(keys), bool)
     new[1:] = keys[1:] != keys[:-1]
@@ -92,120 +134,139 @@ def bucket_pairs(keys: np.ndarray, ids: np.ndarray, small: int = SMALL_BUCKET) -
     group = np.repeat(np.arange(len(start)), size)
     position = np.arange(len(keys)) - start[group]
     large = size[group] > small
-    a, b = [], []
     hub = large & (position > 0)
-    a.append(ids[start[group[hub]]])
-    b.append(ids[hub])
+    a, b = [ids[start[group[hub]]]], [ids[hub]]
     for step in range(1, min(small, int(size.max(initial=1)))):
         first = np.flatnonzero(~large & (position + step < size[group]))
         if not len(first):
             break
         a.append(ids[first])
         b.append(ids[first + step])
-    mask = np.zeros(len(keys), bool)
     mask[order] = large
     return np.concatenate(a), np.concatenate(b), mask
 
 
-def _concatenated(batches: Iterator[pa.RecordBatch], *names: str) -> list[np.ndarray]:
-    parts = [[np.asarray(b.column(n)) for n in names] for b in batches if b.num_rows]
-    return [np.concatenate([p[i] for p in parts]) for i in range(len(names))] if parts else [np.zeros(0, np.int64) for _ in names]
+def _longs(**columns: np.ndarray | None) -> pa.RecordBatch:
+    """Columns of longs; those given as None are null."""
+    n = max(len(c) for c in columns.values() if c is not None)
+    return pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()) if c is None else pa.array(c, pa.int64()) for c in columns.values()], list(columns))
+
 
+def _signatures(batches: Iterator[pa.RecordBatch], values: int, seed: int = _PRIME_SEED) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Ids and min-max values of all texts that have enough words."""
+    for batch in batches:
+        all_ids, all_texts = np.asarray(batch.column("id")), batch.column("text").to_pylist()
+        for part in by_size(all_texts):
+            ids, shingles, per_text = _shingled(all_ids[part], all_texts[part])
+            if len(ids):
+                yield ids, minmax(shingles, per_text, values, seed)
+
+
+def _hot_keys(texts: DataFrame, most: int) -> np.ndarray:
+    """Keys of buckets that a task can't be given whole, found in a sample of the texts that serves nothing else.
+
+    There are ``2 * HOT_PART * BANDS`` of them at most, whatever the number of texts.
+    """
+    least = max(HOT_ROWS, most // HOT_PART)
+    if most < least // 2:
+        return np.zeros(0, np.int64)
 
-def links(texts: DataFrame, similarity: float = LEAST_SIMILARITY) -> DataFrame:
+    def keys_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, values in _signatures(batches, BANDS * ROWS):
+            yield _longs(key=band_keys(values).ravel())
+
+    sampled = texts.filter(F.pmod(F.xxhash64("id", F.lit(_PRIME_SEED)), F.lit(HOT_SAMPLE)) == 0).mapInArrow(keys_of, "key long")
+    hot = sampled.groupBy("key").count().filter(F.col("count") >= max(2, least // 2 // HOT_SAMPLE)).select("key")
+    return np.sort(np.asarray(hot.toArrow().column("key").combine_chunks(), np.int64))
+
+
+def links(texts: DataFrame, similarity: float = LEAST_SIMILARITY, most: int | None = None) -> DataFrame:
     """``(a, b)``, a < b: linked pairs among ``(id, text)`` rows, none of whose texts come twice.
 
-    1. One pass makes min-max signatures; their bands are the keys of buckets.
+    1. One pass makes min-max signatures, whose bands are the keys of buckets. A map task sorts its
+       entries by the part of the buckets they go to and packs them, so that the shuffle moves a
+       few large rows. The number of parts follows ``most``, a bound of the number of texts (they
+       are counted if it is None), so that a part holds about ``ENTRIES`` entries at any size.
     2. Pairs of a bucket are candidates. A bucket of more than ``SMALL_BUCKET`` members gives the
        pairs with its least member and is divided by each of ``REFINEMENTS`` further values, in
        whose buckets the same holds again: texts of similarity 0.6 miss all of those with a
        chance of 0.4^12.
-    3. Candidates are screened by 64 one-byte values and then verified by their whole sets of shingles.
+    3. Candidates are verified by their whole sets of shingles.
     4. A divided bucket that is still large, and whose members the links of step 3 don't all connect,
        is compared whole (:func:`_across`): what its members agree on may be a template's words only.
        Of two components that are alike there, one link is given.
 
-    A bucket that may hold a large share of the rows shows in a sample of the texts; its rows
-    take another path, where the least member is found by a combined aggregation and joined
-    with :func:`join_bounded`, so that no task holds them all. Every text is still in all its buckets.
+    Entries of a bucket that is too large for a task (:func:`_hot_keys`) aren't packed: the least
+    member is found by a combined aggregation and joined with :func:`join_bounded`, so that no task
+    holds them all. Every text is still in all its buckets.
     """
     spark = texts.sparkSession
     texts = texts.select(F.col("id").cast("long").alias("id"), "text")
+    most = texts.count() if most is None else most
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-most * BANDS // ENTRIES))
+    hot = spark.sparkContext.broadcast(_hot_keys(texts, most))
 
     def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            all_ids, all_texts = np.asarray(batch.column("id")), batch.column("text").to_pylist()
-            for part in by_size(all_texts):
-                ids, shingles, per_text = _shingled(all_ids[part], all_texts[part])
-                if not len(ids):
-                    continue
-                signature = minmax(shingles, per_text, BANDS * ROWS)
-                keys = band_keys(signature)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(keys.ravel(), pa.int64()), pa.array(np.repeat(ids, BANDS), pa.int64()), pa.nulls(keys.size, pa.binary())], ["key", "id", "s"]
-                )
-                screen = (minmax(shingles, per_text, SCREEN, _PRIME_SEED + 1) & 0xFF).astype(np.uint8)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids, pa.int64()), pa.array(ids, pa.int64()), pa.array([s.tobytes() for s in screen], pa.binary())], ["key", "id", "s"]
-                )
+        keys: list[np.ndarray] = []
+        ids: list[np.ndarray] = []
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            k, i = np.concatenate(keys), np.concatenate(ids)
+            keys.clear()
+            ids.clear()
+            if len(hot.value):
+                burns = np.isin(k, hot.value)
+                if burns.any():
+                    n = int(burns.sum())
+                    yield pa.RecordBatch.from_arrays([pa.array(np.arange(n) % parts, pa.int32()), pa.nulls(n, pa.binary()), pa.array(k[burns]), pa.array(i[burns])], ["part", "packed", "key", "id"])
+                    k, i = k[~burns], i[~burns]
+            rows = list(pack_entries(k, i, parts))
+            for start in range(0, len(rows), 256):
+                some = rows[start : start + 256]
+                none = pa.nulls(len(some), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in some], pa.int32()), pa.array([x for _, x in some], pa.binary()), none, none], ["part", "packed", "key", "id"])
+
+        for own, values in _signatures(batches, BANDS * ROWS):
+            keys.append(band_keys(values).ravel())
+            ids.append(np.repeat(own, BANDS))
+            if sum(map(len, keys)) >= PACKED_AT_ONCE:
+                yield from flush()
+        if keys:
+            yield from flush()
 
     def paired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = []
+        entries = []
         for batch in batches:
-            screen = batch.column("s").is_valid()
-            passed = batch.filter(screen)
-            if passed.num_rows:
-                n = passed.num_rows
-                yield pa.RecordBatch.from_arrays([passed.column("id"), pa.nulls(n, pa.int64()), passed.column("s"), pa.nulls(n, pa.int64())], ["a", "b", "s", "key"])
-            rows.append(batch.filter(pa.compute.invert(screen)))
-        keys, ids = _concatenated(iter(rows), "key", "id")
-        if len(keys):
-            a, b, large = bucket_pairs(keys, ids)
-            for start in range(0, len(a), 100_000):
-                x, y = a[start : start + 100_000], b[start : start + 100_000]
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64()), pa.nulls(len(x), pa.binary()), pa.nulls(len(x), pa.int64())], ["a", "b", "s", "key"])
-            if large.any():
-                n = int(large.sum())
-                yield pa.RecordBatch.from_arrays([pa.array(ids[large], pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary()), pa.array(keys[large], pa.int64())], ["a", "b", "s", "key"])
-
-    # hot buckets, from a sample of the texts that is used for nothing else
-    sampled = texts.filter(F.pmod(F.xxhash64("id", F.lit(_PRIME_SEED)), F.lit(HOT_SAMPLE)) == 0)
-    hot = materialize(sampled.mapInArrow(signed, "key long, id long, s binary").filter("s is null").groupBy("key").count().filter(F.col("count") >= HOT_SEEN).select("key"), "hot")
-    n_hot = hot.count()
-
-    rows = texts.mapInArrow(signed, "key long, id long, s binary")
-    cold, apart = rows, None
-    if n_hot:
-        rows = materialize(rows, "signed")
-        bands = rows.filter("s is null")
-        burning = join_bounded(bands.select("key", "id"), hot, ["key"], F.col("id"), "left_semi", counted=n_hot)
-        hubs = burning.groupBy("key").agg(F.min("id").alias("hub"))
-        apart = join_bounded(burning, hubs, ["key"], F.col("id"), counted=n_hot)
-        cold = semi_or_anti(bands, hot, ["key"], "left_anti", counted=n_hot).unionByName(rows.filter("s is not null"))
-    pieces = materialize(cold.repartition("key").mapInArrow(paired, "a long, b long, s binary, key long"), "buckets")
+            apart = batch.filter(batch.column("key").is_valid())
+            if apart.num_rows:
+                yield _longs(a=np.asarray(apart.column("id")), b=None, key=np.asarray(apart.column("key")), hot=np.ones(apart.num_rows, np.int64))
+            entries += [unpack_entries(p, x) for p, x in zip(batch.column("part").to_pylist(), batch.column("packed").to_pylist(), strict=True) if x is not None]
+        if not entries:
+            return
+        keys, ids = (np.concatenate(c) for c in zip(*entries, strict=True))
+        del entries
+        a, b, large = bucket_pairs(keys, ids)
+        if len(a):
+            pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0)
+            for start in range(0, len(pairs), 100_000):
+                yield _longs(a=pairs[start : start + 100_000, 0], b=pairs[start : start + 100_000, 1], key=None, hot=None)
+        if large.any():
+            yield _longs(a=ids[large], b=None, key=keys[large], hot=None)
+
+    packed = texts.mapInArrow(signed, "part int, packed binary, key long, id long").repartitionById(parts, "part")
+    pieces = materialize(packed.mapInArrow(paired, "a long, b long, key long, hot long"), "buckets")
     candidates = pieces.filter("b is not null").select("a", "b")
     divide = pieces.filter("key is not null").select("key", F.col("a").alias("id"))
-    if apart is not None:
+    if len(hot.value):
+        burning = pieces.filter("hot is not null").select("key", F.col("a").alias("id"))
+        hubs = burning.groupBy("key").agg(F.min("id").alias("hub"))
+        apart = join_bounded(burning, hubs, ["key"], F.col("id"), counted=len(hot.value))
         candidates = candidates.unionByName(apart.filter("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b")))
-        divide = divide.unionByName(apart.select("key", "id"))
-    parts = large = None
+    members = large = None
     if divide.limit(1).count():
-        parts, large, divided = _divided(texts, divide)
+        members, large, divided = _divided(texts, divide)
         candidates = candidates.unionByName(divided)
-
-    screens = pieces.filter("s is not null").select(F.col("a").alias("id"), "s")
-
-    def screened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, SCREEN) for c in ("sa", "sb"))
-                yield batch.select(["a", "b"]).filter(pa.array((x == y).sum(1) >= SCREEN_LEAST))
-
-    distinct = candidates.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    likely = (
-        distinct.join(screens.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a").join(screens.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
-        .select("a", "b", "sa", "sb").mapInArrow(screened, "a long, b long")
-    )
+    likely = candidates.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     likely = materialize(likely, "likely")
     ids = likely.select(F.col("a").alias("id")).unionByName(likely.select(F.col("b").alias("id"))).distinct()
     involved = semi_or_anti(texts, ids, ["id"], "left_semi")
@@ -220,20 +281,16 @@ def links(texts: DataFrame, similarity: float = LEAST_SIMILARITY) -> DataFrame:
     if large is None or not large.limit(1).count():
         return linked
     linked = materialize(linked, "linked")
-    return linked.unionByName(_across(texts, linked, parts, large, similarity))
+    return linked.unionByName(_across(texts, linked, members, large, similarity))
 
 
 def _divided(texts: DataFrame, divide: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The parts of large buckets, divided by further min-max values, those parts that are still large, and candidates."""
+    spark = texts.sparkSession
 
     def further(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            all_ids, all_texts = np.asarray(batch.column("id")), batch.column("text").to_pylist()
-            for part in by_size(all_texts):
-                ids, shingles, per_text = _shingled(all_ids[part], all_texts[part])
-                if len(ids):
-                    more = minmax(shingles, per_text, REFINEMENTS, _PRIME_SEED + 2)
-                    yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(more.astype(np.int64).tolist(), pa.list_(pa.int64()))], ["id", "more"])
+        for ids, values in _signatures(batches, REFINEMENTS, _PRIME_SEED + 2):
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(values.astype(np.int64).tolist(), pa.list_(pa.int64()))], ["id", "more"])
 
     ids = divide.select("id").distinct()
     values = semi_or_anti(texts, ids, ["id"], "left_semi").mapInArrow(further, "id long, more array<long>")
@@ -247,15 +304,17 @@ def _divided(texts: DataFrame, divide: DataFrame) -> tuple[DataFrame, DataFrame,
     sizes = materialize(sizes, "parts")
     large = sizes.filter(F.col("n") > SMALL_BUCKET)
     stars = join_bounded(parts, large.select("key", "hub"), ["key"], F.col("id")).filter("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b"))
-    few = join_bounded(parts, sizes.filter(F.col("n") <= SMALL_BUCKET).select("key"), ["key"], F.col("id"), "left_semi")
+    few = join_bounded(parts, sizes.filter(F.col("n") <= SMALL_BUCKET).select("key", "n"), ["key"], F.col("id"))
+    total = sizes.filter(F.col("n") <= SMALL_BUCKET).agg(F.sum("n")).first()[0] or 0
 
     def paired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, ids = _concatenated(batches, "key", "id")
-        if len(keys):
-            a, b, _ = bucket_pairs(keys, ids)
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+        rows = [(np.asarray(b.column("key")), np.asarray(b.column("id"))) for b in batches if b.num_rows]
+        if rows:
+            a, b, _ = bucket_pairs(*(np.concatenate(c) for c in zip(*rows, strict=True)))
+            yield _longs(a=a, b=b)
 
-    return parts, large.select("key", "n"), stars.unionByName(few.repartition("key").mapInArrow(paired, "a long, b long"))
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // ENTRIES))
+    return parts, large.select("key", "n"), stars.unionByName(few.select("key", "id").repartition(n, "key").mapInArrow(paired, "a long, b long"))
 
 
 def links_of_block(ids: np.ndarray, labels: np.ndarray, sets: list[np.ndarray], first: np.ndarray, second: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
@@ -363,22 +422,36 @@ def groups(chunks: DataFrame, key: str = "chunk_index", text: str = "text", simi
     n_copies = copies.count()
     single = semi_or_anti(rows, copies.select("id"), ["id"], "left_anti", counted=n_copies) if n_copies else rows
     single = once_per_key(single, "id")
-    linked = materialize(connected_components(links(single, similarity)).withColumnRenamed("node", "id").withColumnRenamed("component", "group"), "components")
+    # a bound of the number of texts, which takes no reading of them
+    linked = materialize(connected_components(links(single, similarity, chunks.count())).withColumnRenamed("node", "id").withColumnRenamed("component", "group"), "components")
     if not n_copies:
         return linked.select(F.col("id").alias(key), "group")
     # copies of texts with enough words; a representative without links is a group with its copies
-    wordy = semi_or_anti(rows, copies.select(F.col("rep").alias("id")).distinct(), ["id"], "left_semi").filter(F.size(F.regexp_extract_all("text", F.lit(r"[\p{L}\p{N}]+"), F.lit(0))) >= LEAST_WORDS).select("id").distinct()
+    copied_texts = materialize(semi_or_anti(rows, copies.select(F.col("rep").alias("id")).distinct(), ["id"], "left_semi"), "copied")
+    wordy = copied_texts.filter(F.size(F.regexp_extract_all("text", F.lit(r"[\p{L}\p{N}]+"), F.lit(0))) >= LEAST_WORDS).select("id").distinct()
+    wordy = materialize(wordy, "wordy")
     copied = join_bounded(copies, wordy.withColumnRenamed("id", "rep"), ["rep"], F.col("id"), "left_semi")
     named = wordy.join(linked, "id", "left").select(F.col("id").alias("rep"), F.coalesce("group", "id").alias("group"))
     joined = join_bounded(copied, named, ["rep"], F.col("id")).select("id", "group")
     return linked.unionByName(joined).unionByName(named.select(F.col("rep").alias("id"), "group")).distinct().select(F.col("id").alias(key), "group")
 
 
+def pairs_of(members: DataFrame, key: str, group: str = "group") -> DataFrame:
+    """``(key_a, key_b)``, a < b: all pairs of a group's members, of which each comes once.
+
+    A group of more than ``PAIR_BLOCK`` members is cut into blocks, and each task joins one block
+    with one other, so that the pairs of a group with a third of all rows are written by many tasks.
+    """
+    sizes = members.groupBy(group).agg(F.ceil(F.count("*") / PAIR_BLOCK).cast("int").alias("_blocks"))
+    sized = join_bounded(members.select(key, group), sizes, [group], F.col(key)).withColumn("_block", F.pmod(F.xxhash64(key), F.col("_blocks")).cast("int"))
+    a = sized.select(F.col(key).alias(f"{key}_a"), group, F.col("_block").alias("_i"), F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)).alias("_j"))
+    b = sized.select(F.col(key).alias(f"{key}_b"), group, F.col("_block").alias("_j"), F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)).alias("_i"))
+    return a.join(b, [group, "_i", "_j"]).filter(F.col(f"{key}_a") < F.col(f"{key}_b")).select(f"{key}_a", f"{key}_b")
+
+
 def found(spark: SparkSession, d: str) -> DataFrame:
     """p3_found: all pairs of records in the same group."""
-    member = materialize(groups(table(spark, d, "chunks")), "members")
-    a, b = member.select(F.col("chunk_index").alias("chunk_index_a"), "group"), member.select(F.col("chunk_index").alias("chunk_index_b"), "group")
-    return a.join(b, "group").filter("chunk_index_a < chunk_index_b").select("chunk_index_a", "chunk_index_b")
+    return pairs_of(materialize(groups(table(spark, d, "chunks")), "members"), "chunk_index")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

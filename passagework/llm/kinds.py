@@ -13,6 +13,8 @@ VERBS = frozenset(
     "ist sind war hat haben kann können darf muss müssen soll sollte wird werden "
     "est sont était ont peut peuvent doit doivent devrait sera".split()
 )
+#: Words after which a word of ``VERBS`` is a noun.
+_DETERMINERS = frozenset("a an the his her their its this that my your our each every any un una el la su ein eine der die das le la les un une sa son leur".split())
 _CORE = re.compile(r"[\"“”„‘’'«(\[¿¡*_—–•☐-]*(.*?)[\"“”‘’'»)\].,;:!?…*_—–-]*")
 _WORD = re.compile(r"[^\W\d_]+(?:['’\-/&.][^\W\d_]+){0,4}\.?")
 _NUMBER = re.compile(r"[$€£+-]?\d{1,3}(?:[.,]?\d{3})*(?:[.,]\d{1,4})?(?:[%$€£]|st|nd|rd|th)?|\d{1,4}(?:[/.:-]\d{1,4}){1,2}|n/a")
@@ -105,12 +107,19 @@ def line_kind(line: str) -> str:
     return "text"
 
 
+def has_verb(words: list[str]) -> bool:
+    """Whether a finite verb is among the lower-case words; what follows a determiner is a noun ("the will")."""
+    if VERBS.isdisjoint(words):
+        return False
+    return any(w in VERBS and (i == 0 or words[i - 1] not in _DETERMINERS) for i, w in enumerate(words))
+
+
 def item_like(line: str) -> bool:
     """Whether an unmarked line can be an item: it starts like one, has no end mark and no finite verb."""
     bare = line.strip()
     if not bare or len(bare) > 130 or not (bare[0].isupper() or bare[0].isdigit()) or bare[-1] in ".!?…" or _END.search(bare) or _PAGE.search(bare):
         return False
-    return VERBS.isdisjoint(bare.lower().replace(" the will", "").split())
+    return not has_verb(bare.lower().split())
 
 
 def kinds(text: str) -> list[tuple[str, str]]:

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import base64
 import os
-from itertools import pairwise
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import regex
@@ -28,22 +28,30 @@ def load_ranks(path: str) -> dict[bytes, int]:
 
 
 def merge(word: bytes, ranks: dict[bytes, int]) -> list[int]:
-    """Token ids of a pre-token: the adjacent pair of lowest rank is merged until none is left."""
-    parts = [word[i : i + 1] for i in range(len(word))]
-    while len(parts) > 1:
-        best = min((ranks.get(a + b, 1 << 60) for a, b in pairwise(parts)), default=1 << 60)
-        if best == 1 << 60:
-            break
-        out, i = [], 0
-        while i < len(parts):
-            if i + 1 < len(parts) and ranks.get(parts[i] + parts[i + 1]) == best:
-                out.append(parts[i] + parts[i + 1])
-                i += 2
-            else:
-                out.append(parts[i])
-                i += 1
-        parts = out
-    return [ranks[p] for p in parts]
+    """Token ids of a pre-token: the adjacent pair of lowest rank, the leftmost first, is merged until none is left.
+
+    Parts are linked by their positions and the pairs that can be merged wait in a heap, so that a
+    run of n letters takes n log n steps. A pair whose parts have changed meanwhile is passed over.
+    """
+    n, rank_of = len(word), ranks.get
+    stop = list(range(1, n + 1))  # where the part that starts here ends; 0 if none starts here any more
+    before = list(range(-1, n))  # where the part before the one that starts here starts
+    waiting = [(r, i) for i in range(n - 1) if (r := rank_of(word[i : i + 2])) is not None]
+    heapify(waiting)
+    while waiting:
+        rank, i = heappop(waiting)
+        middle = stop[i]
+        if not middle or middle == n or rank_of(word[i : stop[middle]]) != rank:
+            continue
+        end = stop[i] = stop[middle]
+        stop[middle] = 0
+        before[end] = i
+        if end < n and (r := rank_of(word[i : stop[end]])) is not None:
+            heappush(waiting, (r, i))
+        left = before[i]
+        if left >= 0 and (r := rank_of(word[left:end])) is not None:
+            heappush(waiting, (r, left))
+    return [ranks[word[i:e]] for i, e in enumerate(stop) if e]
 
 
 def frequent_words(ranks: dict[bytes, int]) -> list[bytes]:

@@ -16,6 +16,7 @@ from ..session import table
 MOST_CHARS, MOST_TOKENS, OVERLAP = 900, 256, 160
 LEVELS = ("paragraph", "line", "sentence", "word")
 _TRIM = " \t\r\n"
+_SOLID = re.compile(r"[^ \t\r\n]")
 #: What lies between two units of a level; a unit ends where the match starts.
 _BETWEEN = {
     "paragraph": re.compile(r"\n(?:[ \t]*\n)+"),
@@ -32,10 +33,21 @@ def room_of(text: Column, title: Column, tokens: Column, most: int = MOST_CHARS,
     return F.greatest(F.lit(1), F.least(F.lit(most) - titled, F.coalesce(by_tokens, F.lit(most))))
 
 
-def cut_level(text: str, room: int) -> str:
-    """The first level at which every unit, trimmed, fits the room."""
+def boundaries(text: str) -> dict[str, tuple[list[int], list[int]]]:
+    """For each level the sorted offsets at which its units end and at which they start."""
+    found = {}
     for level in LEVELS:
-        if all(len(unit.strip(_TRIM)) <= room for unit in _BETWEEN[level].split(text)):
+        gaps = [m.span() for m in _BETWEEN[level].finditer(text)]
+        found[level] = [a for a, _ in gaps] + [len(text)], [0] + [b for _, b in gaps]
+    return found
+
+
+def level_of(text: str, room: int, offsets: dict[str, tuple[list[int], list[int]]]) -> str:
+    """The first level at which every unit, trimmed, fits the room, by the offsets of its boundaries."""
+    for level in LEVELS:
+        ends, starts = offsets[level]
+        # trimming is needed only where the untrimmed unit doesn't fit
+        if all(b - a <= room or len(text[a:b].strip(_TRIM)) <= room for a, b in zip(starts, ends, strict=True)):
             return level
     return "hard"
 
@@ -43,20 +55,28 @@ def cut_level(text: str, room: int) -> str:
 def split(text: str, room: int, overlap: int = OVERLAP) -> tuple[str, list[tuple[int, int, int]]]:
     """The text's cut level and its pieces ``(start, end, repeated)``.
 
-    The ends and starts of the units of all levels down to the cut level are sorted arrays of
-    offsets. From a start, the last unit end within the room is found by binary search, coarse
-    levels first if they fill half of the room; without any, the cut is hard. The next start
-    steps back by at most ``overlap`` characters, to the first unit start in that stretch, or
-    exactly by ``overlap`` if there is none and the cut is hard. Pieces don't begin or end with
-    blanks, are at most ``room`` long, and each ends further than the one before.
+    The ends and starts of the units of all levels are sorted arrays of offsets, from which the cut
+    level follows (:func:`level_of`). From a start, the last unit end within the room is found by
+    binary search in the levels down to the cut level, coarse ones first if they fill half of the
+    room; without any, the cut is hard. The next start steps back by at most ``overlap``
+    characters, to the first unit start in that stretch, or exactly by ``overlap`` if there is none
+    and the cut is hard. Pieces don't begin or end with blanks, are at most ``room`` long, and each
+    ends further than the one before. Offsets only are moved, so the time is in proportion to the text.
     """
-    level = cut_level(text, room)
+    offsets = boundaries(text)
+    level = level_of(text, room, offsets)
     used = LEVELS[: LEVELS.index(level) + 1] if level in LEVELS else LEVELS
-    ends = {x: sorted({m.start() for m in _BETWEEN[x].finditer(text)} | {len(text)}) for x in used}
-    starts = sorted({m.end() for x in LEVELS for m in _BETWEEN[x].finditer(text)})
+    ends = {x: offsets[x][0] for x in used}
+    starts = sorted({s for x in LEVELS for s in offsets[x][1][1:]})
     overlap = min(overlap, room // 2)
     finish = len(text.rstrip(_TRIM))
-    pieces, start, done = [], len(text) - len(text.lstrip(_TRIM)), 0
+
+    def solid(at: int) -> int:
+        """The first place from ``at`` on that isn't blank."""
+        found = _SOLID.search(text, at)
+        return found.start() if found else len(text)
+
+    pieces, start, done = [], solid(0), 0
     while done < finish:
         limit = min(start + room, finish)
         end = 0
@@ -66,7 +86,7 @@ def split(text: str, room: int, overlap: int = OVERLAP) -> tuple[str, list[tuple
             for least in (max(done, start + room // 2), done):
                 for x in used:
                     at = bisect_right(ends[x], limit) - 1
-                    if at >= 0 and ends[x][at] > least and len(text[done : ends[x][at]].strip(_TRIM)):
+                    if at >= 0 and ends[x][at] > least and solid(done) < ends[x][at]:
                         end = ends[x][at]
                         break
                 if end:
@@ -74,12 +94,11 @@ def split(text: str, room: int, overlap: int = OVERLAP) -> tuple[str, list[tuple
         end = end or limit
         end = start + len(text[start:end].rstrip(_TRIM))
         if end <= done:  # nothing but blanks follows within the limit
-            start = done + len(text[done:]) - len(text[done:].lstrip(_TRIM))
-            done = start
+            start = done = solid(done)
             continue
         pieces.append((start, end, max(0, done - start) if pieces else 0))
         done = end
-        after = done + len(text[done:]) - len(text[done:].lstrip(_TRIM))
+        after = solid(done)
         at = bisect_left(starts, done - overlap)
         back = starts[at] if at < len(starts) and starts[at] < done else (done - overlap if after == done else after)
         # the unit that follows must still fit behind what is repeated
@@ -89,7 +108,7 @@ def split(text: str, room: int, overlap: int = OVERLAP) -> tuple[str, list[tuple
         if start < need:
             at = bisect_left(starts, need)
             start = starts[at] if at < len(starts) and starts[at] <= after else after
-        start += len(text[start:]) - len(text[start:].lstrip(_TRIM))
+        start = solid(start)
     return level, pieces
 
 

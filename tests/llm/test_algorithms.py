@@ -154,7 +154,8 @@ def test_groups_equal_brute_force(spark):
 def test_hot_groups_of_copies_and_of_near_copies(spark, monkeypatch):
     monkeypatch.setattr(similar, "SMALL_BUCKET", 6)
     monkeypatch.setattr(similar, "HOT_SAMPLE", 2)
-    monkeypatch.setattr(similar, "HOT_SEEN", 10)
+    monkeypatch.setattr(similar, "HOT_ROWS", 40)
+    assert len(similar._hot_keys(spark.createDataFrame([(i, " ".join([*(f"h{j}" for j in range(60)), f"n{i}"])) for i in range(200)], "id long, text string"), 200)) > 5
     rng = random.Random(7)
     rows = texts(rng, 120)
     base = [f"h{i}" for i in range(60)]
@@ -172,6 +173,45 @@ def test_minmax_estimates_similarity():
     assert abs((both[0] == both[1]).mean() - 0.6) < 0.06
 
 
+def test_entries_are_packed_and_unpacked():
+    rng = np.random.default_rng(5)
+    for ids in (rng.integers(0, 1000, 500), rng.integers(-(2**62), 2**62, 500)):
+        keys = rng.integers(-(2**63), 2**63 - 1, 500, dtype=np.int64)
+        keys[::7] = keys[0]
+        got = [similar.unpack_entries(p, x) for p, x in similar.pack_entries(keys, ids, 6)]
+        assert sorted(np.concatenate([i for _, i in got]).tolist()) == sorted(ids.tolist())
+        buckets = defaultdict(set)
+        for own_keys, own_ids in got:
+            for k, i in zip(own_keys.tolist(), own_ids.tolist(), strict=True):
+                buckets[k].add(i)
+        assert any(set(ids[::7].tolist()) <= members for members in buckets.values())
+
+
+def test_a_group_in_blocks_gives_all_pairs(spark, monkeypatch):
+    monkeypatch.setattr(similar, "PAIR_BLOCK", 7)
+    members = spark.createDataFrame([(i, 0 if i < 60 else i // 3) for i in range(90)], "chunk_index long, group long")
+    got = [tuple(r) for r in similar.pairs_of(members, "chunk_index").collect()]
+    want = {(a, b) for a, b in combinations(range(90), 2) if (0 if a < 60 else a // 3) == (0 if b < 60 else b // 3)}
+    assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_links_between_members_that_miss_the_least_of_a_large_bucket(spark, monkeypatch):
+    """A bucket far above the bound for all pairs, whose least member is like no other: planted pairs are found all the same."""
+    monkeypatch.setattr(similar, "SMALL_BUCKET", 8)
+    common, rows, want = " ".join(f"t{i}" for i in range(120)), [], {}
+    for i in range(600):
+        own = [f"o{i}x{k}" for k in range(60)]
+        if i % 2 and i > 300:
+            own[:22] = [f"o{i - 1}x{k}" for k in range(22)]
+            want |= {i - 1: i - 1, i: i - 1}
+        rows.append((i, common + " " + " ".join(own)))
+    least = similar.alike(rows[0][1], rows[1][1])
+    planted = similar.alike(rows[400][1], rows[401][1])
+    assert least < 0.6 <= planted
+    got = grouped(spark, rows)
+    assert got.items() <= want.items() and len(got) >= 0.97 * len(want)
+
+
 def test_bucket_pairs():
     a, b, large = similar.bucket_pairs(np.array([1, 2, 1, 1, 2, 3]), np.array([5, 8, 6, 7, 9, 4]), 10)
     assert set(zip(a.tolist(), b.tolist(), strict=True)) == {(5, 6), (5, 7), (6, 7), (8, 9)} and not large.any()
@@ -199,6 +239,17 @@ def test_groups_of_nothing(spark):
 
 # ---------------------------------------------------------------- 7
 
+def test_long_runs_of_letters_take_no_square_of_time():
+    import time
+
+    ranks = lexicon.load_ranks(encoding.vocabulary_path())
+    rng, token = random.Random(2), {v: k for k, v in ranks.items()}
+    for word in (bytes(rng.choices(b"abcdefghijklmnopqrstuvwxyz", k=100_000)), b"a" * 100_000):
+        start = time.process_time()
+        ids = lexicon.merge(word, ranks)
+        assert time.process_time() - start < 10 and b"".join(token[i] for i in ids) == word
+
+
 TEXTS = ["", None, " ", "Hello, world! It's 2024.", "don't  stop\n\n\tnow ", "Größe ÉTÉ é日本語 😀👍🏽", "<|endoftext|> is text", "a" * 5000, " ​\x00", "مرحبا Привет"]
 
 
@@ -259,11 +310,24 @@ def test_best_fit_packs_tightly_and_splits_nothing():
     assert packing.best_fit([]) == [] and packing.best_fit([(0,), (0,)]) == [(0, 256), (0, 256)]
 
 
+def test_sizes_are_chosen_by_what_would_fill_them():
+    # nothing else fits beside an item of 1100 in 2048, but 1200 holds it
+    assert set(packing.best_fit([(1100,)] * 5, (1200, 2048))) == {(i, 1200) for i in range(5)}
+    # 900 fill the rest of 2048, so that one container is cheaper than two
+    assert packing.best_fit([(1100,), (900,)], (1200, 2048)) == [(0, 2048), (0, 2048)]
+    # items that leave a third of any container empty go where they leave least
+    many = packing.best_fit([(n,) for n in range(600, 1100)])
+    assert Counter(dict(many).values()).keys() == {1024, 2048}
+    assert sum(range(600, 1100)) / sum(dict(many).values()) > 0.85
+    sizes = packing.best_fit([(n,) for n in [1020] * 7 + [3] * 4], (1024, 2048), 0)
+    assert sum(dict(sizes).values()) == 7 * 1024
+
+
 def test_pack(spark):
     rng = random.Random(5)
     sizes = {i: rng.choice([0, 1, 2048, 2049, 5000, rng.randrange(2000)]) for i in range(500)}
     df = spark.createDataFrame([(i, n, 1) for i, n in sizes.items()] + [(900, None, 1), (None, 5, 1)], "doc_id long, n_tokens long, capacity int")
-    rows = packing.pack(df, items_at_once=200).collect()
+    rows = packing.pack(df, pieces_at_once=200).collect()
     covered, load = defaultdict(list), Counter()
     for r in rows:
         covered[r.doc_id].append((r.start, r.length))

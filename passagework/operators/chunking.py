@@ -1,20 +1,25 @@
 """Chunks of documents: packed layout sections, character windows, and sentence-safe semantic chunks.
 
-The packers are greedy folds whose next start depends on the last cut, which no relational
-operator expresses; they run as Arrow batches on whole documents, one row each. Lengths are
-code points.
+What a block is, under which headings it stands and which blocks are one unit is found by column
+expressions and windows (:mod:`.layout`, :mod:`..functions.text`). The packers that follow are greedy
+folds whose next start depends on the last cut, which no relational operator expresses; they run on
+Arrow columns, a document at a time. Lengths are code points.
 """
 
 from __future__ import annotations
 
-import hashlib
 import re
 from collections.abc import Iterator
 from itertools import pairwise
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from ..functions import text as X
+from . import layout as L
 
 #: Versions and default limits.
 EXTRACTION_VERSION, CHUNKING_VERSION = "layout-v2", "semantic-v1"
@@ -23,11 +28,6 @@ TARGET, MAX, OVERLAP, TABLE_MAX = 700, 900, 160, 480
 
 _SENTENCE = re.compile(r'(?<=[.!?])\s+(?=["“”‘’(\[]*[A-Z0-9])')
 _TOKEN = re.compile(r"\s+|\S+")
-_REVISION = re.compile(r"(?:[A-Z]{2,}-[A-Z0-9-]+-\d+|\d{3,}(?:\.\d+)+|\d{4})")
-_NUMBERED = re.compile(r"(\d+(?:\.\d+)*)[.)]?\s+")
-_LETTERED = re.compile(r"[A-Z][.)]\s+")
-_FIGURE = re.compile(r"[$€£¥%]|\d")
-_OPEN_END = re.compile(r'[.!?;:)”"]\Z')
 
 
 # ---------------------------------------------------------------- text
@@ -39,11 +39,6 @@ def collapsed_lines(text: str | None, join: str = "\n") -> str:
     return join.join(line for line in full if line)
 
 
-def semantic_text(text: str | None, keep_lines: bool = False) -> str:
-    """Text of a unit: no soft hyphens, hyphenated breaks closed."""
-    return collapsed_lines(re.sub(r"(?<=[A-Za-z])-\n(?=[a-z])", "", (text or "").replace("\xad", "")), "\n" if keep_lines else " ")
-
-
 def sentences(text: str) -> list[str]:
     """The text's sentences."""
     return [s for s in map(str.strip, _SENTENCE.split(" ".join(text.split()))) if s]
@@ -120,137 +115,79 @@ def split_table(text: str, most: int, overlap: int = LAYOUT_OVERLAP) -> list[str
 
 
 def split_headed_table(text: str, most: int) -> list[str]:
-    """A table in parts of up to ``most`` characters that all repeat its header, with its rule if it has one.
+    """A table in parts of up to ``most`` characters.
 
-    A header that leaves no room is not repeated; rows are then cut like words.
+    Rows of bars have a header, with its rule if there is one, which all parts repeat; other tables
+    have none. A header that leaves no room is not repeated; rows longer than the room are cut by sentences and words.
     """
-    rows = [r for r in text.split("\n") if r.strip()]
-    if len(text) <= most or len(rows) < 2:
-        return [text] if len(text) <= most else split_words(text, most)
-    lead = 2 if re.fullmatch(r"[\s|:-]+", rows[1]) and "-" in rows[1] else 1
+    rows = [r for r in map(str.strip, text.split("\n")) if r]
+    if len(text) <= most:
+        return ["\n".join(rows)] if rows else []
+    lead = 0
+    if rows and rows[0][0] == "|":
+        lead = 2 if len(rows) > 1 and re.fullmatch(r"[\s|:-]+", rows[1]) and "-" in rows[1] else 1
     header = "\n".join(rows[:lead])
-    room = most - len(header) - 1
-    if room < 1:
-        return [p for r in rows for p in ([r] if len(r) <= most else split_words(r, most))]
-    body = pack([p for r in rows[lead:] for p in ([r] if len(r) <= room else split_words(r, room))], room, "\n")
-    return [f"{header}\n{part}" for part in body]
+    if lead and (len(rows) == lead or most - len(header) - 1 < 1):
+        lead, header = 0, ""
+    room = most - len(header) - (1 if header else 0)
+    body = pack([p for r in rows[lead:] for p in ([r] if len(r) <= room else split_semantic(r, room))], room, "\n")
+    return [f"{header}\n{part}" if header else part for part in body]
 
 
-# ---------------------------------------------------------------- layout chunks
+# ---------------------------------------------------------------- DataFrames
 
+BLOCK = "struct<text:string,page_number:int,bbox:array<double>,block_type:string,font_size:double,is_bold:boolean,metadata:struct<layout_type:string,layout_region:string,reading_order:int>>"
+_PLACE = "struct<page_number:int,bbox:array<double>,layout_type:string,layout_region:string,reading_order:int>"
+_KEY = ["source_document", "source_fingerprint"]
+_SEMANTIC = (
+    "source_document", "chunk_index", "chunk_id", "text", "embedding_text", "page_number", "page_start", "page_end", "page_numbers", "section_title", "section_path", "block_types",
+    "semantic_unit_types", "source_bboxes", "overlap_with_previous_chars", "source_fingerprint", "extraction_version", "chunking_version",
+)
+_LAYOUT = (
+    "source_document", "chunk_index", "chunk_id", "text", "page_number", "page_start", "page_end", "page_numbers", "section_title", "block_types", "source_fingerprint", "extraction_version",
+)
 
-def layout_chunks(blocks: list[dict], most: int = LAYOUT_MAX, overlap: int = LAYOUT_OVERLAP) -> list[dict]:
-    """Blocks of a document as chunks that don't cross sections; a heading starts a section.
 
-    Blocks of a section are packed; an oversized one is flushed before and split by itself, a
-    table by rows. Without any block type but text (``None``) the windows are all there is.
-    """
-    chunks: list[dict] = []
-    title: str | None = None
-    buffer: list[dict] = []
-
-    def add(text: str, own: list[dict]) -> None:
-        pages = sorted({b["page_number"] for b in own})
-        types = list(dict.fromkeys(b["block_type"] for b in own))
-        chunks.append({"text": text, "page_numbers": pages, "section_title": title, "block_types": types})
-
-    def flush() -> None:
-        if buffer:
-            add("\n\n".join(b["text"] for b in buffer), buffer)
-            buffer.clear()
-
-    for block in blocks:
-        if block["block_type"] == "heading":
-            flush()
-            title = block["text"]
-        size = sum(len(b["text"]) + 2 for b in buffer) + len(block["text"])
-        if size > most:
-            flush()
-        if len(block["text"]) > most:
-            flush()
-            parts = split_table(block["text"], most, overlap) if block["block_type"] == "table" else split_windows(block["text"], most, overlap)
-            for part in parts:
-                add(part, [block])
-        else:
-            buffer.append(block)
-    flush()
-    return chunks
+def _blocks(documents: DataFrame) -> DataFrame:
+    """Every block with text, with its place in its document; blocks without ``metadata`` get its defaults. A document given twice comes once."""
+    once = documents.select(*[F.coalesce(k, F.lit("")).alias(k) for k in _KEY], "blocks").groupBy(*_KEY).agg(F.first("blocks", ignorenulls=True).alias("blocks"))
+    fields = documents.schema["blocks"].dataType.elementType.fieldNames()
+    rows = once.select(*_KEY, F.posexplode("blocks").alias("at", "b")).filter(X.strip(X.text_or_empty(F.col("b.text"))) != "")
+    known = documents.schema["blocks"].dataType.elementType["metadata"].dataType.fieldNames() if "metadata" in fields and isinstance(documents.schema["blocks"].dataType.elementType["metadata"].dataType, T.StructType) else []
 
+    def meta(name: str, kind: str, default: object) -> Column:
+        return F.coalesce(F.col(f"b.metadata.{name}") if name in known else F.lit(None).cast(kind), F.lit(default).cast(kind)).alias(name)
 
-# ---------------------------------------------------------------- semantic chunks
-
-
-def is_structural(block: dict, body: float | None) -> bool:
-    """Whether a heading is one of the document's structure."""
-    text = semantic_text(block["text"])
-    words = len(text.split())
-    if not text or any(_REVISION.fullmatch(x.strip()) for x in block["text"].splitlines()):
-        return False
-    if text.startswith(("•", "- ", "* ")):
-        return False
-    if block.get("font_size") and body and block["font_size"] >= body * 1.15:
-        return True
-    if text.isupper() and words <= 12 or (text.endswith(":") or _NUMBERED.match(text)) and words <= 14:
-        return True
-    return words <= 8 and len(text) <= 90 and ". " not in text
-
-
-def level_of(block: dict, ranks: list[float]) -> int:
-    """The level of a heading by number, letter, font rank or weight."""
-    text = semantic_text(block["text"])
-    if number := _NUMBERED.match(text):
-        return min(4, number[1].count(".") + 1)
-    if _LETTERED.match(text):
-        return 3
-    if block.get("font_size") is not None and round(block["font_size"], 1) in ranks:
-        return min(4, ranks.index(round(block["font_size"], 1)) + 1)
-    return 2 if block.get("is_bold") else 1
-
-
-def is_tabular(text: str) -> bool:
-    """Whether a paragraph is a table in disguise."""
-    full = [x for x in text.splitlines() if x.strip()]
-    return len(full) >= 8 and sum(bool(_FIGURE.search(x)) for x in full) >= 0.45 * len(full) and sum(text.count(c) for c in "%$|") >= 4
-
-
-def units_of(blocks: list[dict], most: int = MAX, table_max: int = TABLE_MAX) -> list[dict]:
-    """Semantic units: text with its path of headings, type and the blocks it comes from."""
-    weights: dict[int, dict[float, int]] = {}
-    for b in blocks:
-        if b["block_type"] == "paragraph" and b.get("font_size"):
-            own = weights.setdefault(b["page_number"], {})
-            own[round(b["font_size"], 1)] = own.get(round(b["font_size"], 1), 0) + len(b["text"])
-    body = {page: max(own, key=own.__getitem__) for page, own in weights.items()}
-    structural = [b["block_type"] == "heading" and is_structural(b, body.get(b["page_number"])) for b in blocks]
-    ranks = sorted({round(b["font_size"], 1) for b, s in zip(blocks, structural, strict=True) if s and b.get("font_size") is not None}, reverse=True)
-    stack: list[tuple[int, str]] = []
-    units: list[dict] = []
-    for block, heads in zip(blocks, structural, strict=True):
-        if heads:
-            level = level_of(block, ranks)
-            while stack and stack[-1][0] >= level:
-                stack.pop()
-            stack.append((level, semantic_text(block["text"])))
-            continue
-        kind = "paragraph" if block["block_type"] == "heading" else block["block_type"]
-        if kind == "paragraph" and is_tabular(block["text"]):
-            kind = "table"
-        text = semantic_text(block["text"], kind in ("list", "table"))
-        if not text:
-            continue
-        path = tuple(t for _, t in stack)
-        room = max(20, most - (len(path[-1]) + 2 if path else 0))
-        parts = split_headed_table(text, min(table_max, room)) if kind == "table" else [text]
-        units += [{"text": p, "path": path, "type": kind, "blocks": [block], "room": room} for p in parts]
-    joined: list[dict] = []
-    for unit in units:
-        last = joined[-1] if joined else None
-        if last and unit["type"] == last["type"] == "paragraph" and unit["path"] == last["path"] and (not _OPEN_END.search(last["text"]) or unit["text"][:1].islower()):
-            last["text"] += " " + unit["text"]
-            last["blocks"] = last["blocks"] + unit["blocks"]
-        else:
-            joined.append(dict(unit))
-    return [dict(u, text=p) for u in joined for p in ([u["text"]] if u["type"] == "table" else split_semantic(u["text"], u["room"]))]
+    plain = [F.col(f"b.{n}").alias(n) if n in fields else F.lit(None).cast(k).alias(n) for n, k in (("text", "string"), ("page_number", "int"), ("bbox", "array<double>"), ("block_type", "string"), ("font_size", "double"), ("is_bold", "boolean"))]
+    return rows.select(*_KEY, "at", *plain, meta("layout_type", "string", "text"), meta("layout_region", "string", "page"), meta("reading_order", "int", None))
+
+
+def semantic_units(documents: DataFrame) -> DataFrame:
+    """``(source_document, source_fingerprint, unit, path, kind, text, places)``: the semantic units of documents, not yet cut.
+
+    Structural headings are no units but the path that units stand under; a heading that isn't
+    structural is a paragraph, and a paragraph of figures is a table. Neighbouring paragraphs of one
+    path are one unit where the first doesn't end or the second starts in lower case. All windows
+    run by document, so the blocks are shuffled once.
+    """
+    c, of = F.col, W.partitionBy(*_KEY)
+    font = F.when(c("font_size") != 0, c("font_size"))
+    rows = L.body_font_over(_blocks(documents), [*_KEY, "page_number"], "at", F.when(c("block_type") == "paragraph", font))
+    titled = c("block_type") == "heading"
+    rows = rows.withColumn("_ranks", F.sort_array(F.collect_set(F.when(titled, F.bround("font_size", 1))).over(of), asc=False))
+    heads = titled & L.structural_heading(c("text"), c("font_size"), c("body_font"))
+    rows = rows.withColumn("_level", F.when(heads, L.heading_level(c("text"), c("font_size"), c("_ranks"), c("is_bold")))).withColumn("_title", F.when(heads, X.normalize_semantic_text(c("text"))))
+    rows = L.heading_paths(rows, _KEY, "at", "_level", "_title").filter(c("_level").isNull())
+    kind = F.when(titled, "paragraph").otherwise(c("block_type"))
+    rows = rows.withColumn("kind", F.when((kind == "paragraph") & X.looks_tabular(c("text")), "table").otherwise(kind))
+    lined = c("kind").isin("list", "table")
+    rows = rows.withColumn("text", F.when(lined, X.normalize_semantic_text(c("text"), True)).otherwise(X.normalize_semantic_text(c("text")))).filter("text <> ''")
+    rows = L.islands(rows.withColumn("_paragraph", c("kind") == "paragraph"), _KEY, "at", same=("path",), only="_paragraph")
+    places = F.array_sort(F.collect_list(F.struct("at", "text", F.struct("page_number", "bbox", "layout_type", "layout_region", "reading_order").alias("place"))))
+    return (
+        rows.groupBy(*_KEY, F.col("island").alias("unit")).agg(F.first("path").alias("path"), F.first("kind").alias("kind"), places.alias("_p"))
+        .select(*_KEY, "unit", "path", "kind", F.array_join(F.transform("_p", lambda p: p["text"]), " ").alias("text"), F.transform("_p", lambda p: p["place"]).alias("places"))
+    )
 
 
 def group_units(units: list[dict], target: int = TARGET, most: int = MAX) -> list[list[dict]]:
@@ -268,105 +205,157 @@ def group_units(units: list[dict], target: int = TARGET, most: int = MAX) -> lis
     return groups
 
 
-def semantic_chunks(blocks: list[dict], target: int = TARGET, most: int = MAX, overlap: int = OVERLAP, table_max: int = TABLE_MAX) -> list[dict]:
-    """Blocks of a document as semantic chunks; each may repeat the last sentence of the one before, if the path is the same."""
-    if not 0 < target <= most:
-        raise ValueError("target must be positive and at most the maximum")
-    groups = group_units(units_of(blocks, most, table_max), target, most)
+def pack_units(units: list[dict], target: int = TARGET, most: int = MAX, overlap: int = OVERLAP, table_max: int = TABLE_MAX) -> list[dict]:
+    """A document's units (text, path, kind, places) as chunks; each may repeat the last sentence of the one before, if the path is the same."""
+    cut = []
+    for unit in units:
+        path = tuple(unit["path"])
+        room = max(20, most - (len(path[-1]) + 2 if path else 0))
+        parts = split_headed_table(unit["text"], min(table_max, room)) if unit["kind"] == "table" else split_semantic(unit["text"], room)
+        cut += [{**unit, "path": path, "text": p} for p in parts]
     chunks = []
-    for before, group in pairwise([None, *groups]):
+    for before, group in pairwise([None, *group_units(cut, target, most)]):
         path = group[0]["path"]
-        shown = "\n\n".join([*path[-1:], *(u["text"] for u in group)]).strip()
+        body = "\n\n".join(u["text"] for u in group)
+        leaf = path[-1] + "\n\n" if path else ""
         again = ""
         if before and before[0]["path"] == path:
             tail = (sentences(before[-1]["text"]) or [""])[-1]
-            if tail and len(tail) <= overlap and len(shown) + 2 + len(tail) <= most:
-                again = tail
-                shown = "\n\n".join([*path[-1:], again, *(u["text"] for u in group)]).strip()
-        body = shown if not path else "" if shown == path[-1] else shown.removeprefix(path[-1] + "\n\n")
-        own = [b for u in group for b in u["blocks"]]
-        types = list(dict.fromkeys(b["block_type"] for b in own))
+            if tail and len(tail) <= overlap and len(leaf) + len(tail) + 2 + len(body) <= most:
+                again, body = tail, f"{tail}\n\n{body}"
+        types = list(dict.fromkeys(u["kind"] for u in group))
+        places = {(p["page_number"], *(p["bbox"] or ())): p for u in group for p in u["places"]}
         chunks.append({
-            "text": shown, "embedding_text": f"{' > '.join(path)}\n\n{body}".strip() if path else shown, "section_path": list(path), "section_title": path[-1] if path else None,
-            "block_types": ["heading", *types] if path and "heading" not in types else types, "semantic_unit_types": list(dict.fromkeys(u["type"] for u in group)),
-            "page_numbers": sorted({b["page_number"] for b in own}), "overlap_with_previous_chars": len(again),
-            "source_bboxes": list({(b["page_number"], tuple(b["bbox"] or ())): {"page_number": b["page_number"], "bbox": b["bbox"]} for b in own if b.get("bbox")}.values()),
+            "text": leaf + body, "embedding_text": f"{' > '.join(path)}\n\n{body}" if path else body, "section_path": list(path), "section_title": path[-1] if path else None,
+            "block_types": ["heading", *types] if path and "heading" not in types else types, "semantic_unit_types": types, "page_numbers": sorted({p["page_number"] for p in places.values() if p["page_number"] is not None}),
+            "source_bboxes": [p for p in places.values() if p["bbox"]], "overlap_with_previous_chars": len(again),
         })
     return chunks
 
 
-def stable_id(*parts: str) -> str:
-    """The first 24 hexadecimal digits of the SHA-256 of the parts, joined by NUL."""
-    return hashlib.sha256("\0".join(parts).encode()).hexdigest()[:24]
-
-
-# ---------------------------------------------------------------- DataFrames
-
-BLOCK = "struct<text:string,page_number:int,bbox:array<double>,block_type:string,font_size:double,is_bold:boolean>"
-_SEMANTIC = (
-    "source_document string, chunk_index int, chunk_id string, text string, embedding_text string, page_number int, page_start int, page_end int, page_numbers array<int>, section_title string, "
-    "section_path array<string>, block_types array<string>, semantic_unit_types array<string>, source_bboxes array<struct<page_number:int,bbox:array<double>>>, overlap_with_previous_chars int, "
-    "source_fingerprint string, extraction_version string, chunking_version string"
-)
-_LAYOUT = (
-    "source_document string, chunk_index int, chunk_id string, text string, page_number int, page_start int, page_end int, page_numbers array<int>, section_title string, block_types array<string>, "
-    "source_fingerprint string, extraction_version string"
-)
+def _numbered(chunks: DataFrame, columns: tuple[str, ...], *identity: Column) -> DataFrame:
+    """Packed chunks with their pages' bounds, identities and versions, all by column expressions."""
+    named = chunks.withColumns({
+        "page_number": X.at("page_numbers", 1), "page_start": X.at("page_numbers", 1), "page_end": X.at("page_numbers", -1), "extraction_version": F.lit(EXTRACTION_VERSION), "chunking_version": F.lit(CHUNKING_VERSION),
+        "chunk_id": X.identity(F.col("source_fingerprint"), F.col("source_document"), F.col("chunk_index"), *identity, F.col("text")),
+    })
+    return named.select(*columns)
 
 
-def _chunked(documents: DataFrame, schema: str, make) -> DataFrame:
-    """Rows ``(source_document, source_fingerprint, blocks)`` as chunk rows; ``make`` gives a document's chunks."""
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import _parse_datatype_string
+def chunk_semantic(documents: DataFrame, target: int = TARGET, most: int = MAX, overlap: int = OVERLAP, table_max: int = TABLE_MAX) -> DataFrame:
+    """Semantic chunks of documents given as rows ``(source_document, source_fingerprint, blocks)``.
 
-    arrow = to_arrow_schema(_parse_datatype_string(schema))
+    ``blocks`` is an array of structs in reading order (see ``BLOCK``; fonts, boxes and metadata may be
+    lacking). Chunks count from 0 within a document; see :func:`.validation.renumber` for numbers over all. Null or
+    empty blocks give no chunk, and a heading that nothing follows gives none. Null names and
+    fingerprints count as ''; a document given twice comes once.
+    """
+    if not 0 < target <= most:
+        raise ValueError("target must be positive and at most the maximum")
+    units = semantic_units(documents).groupBy(*_KEY).agg(F.array_sort(F.collect_list(F.struct("unit", "path", "kind", "text", "places"))).alias("units"))
+    names = ("text", "embedding_text", "page_numbers", "section_title", "section_path", "block_types", "semantic_unit_types", "source_bboxes", "overlap_with_previous_chars")
+    schema = (
+        "source_document string, source_fingerprint string, chunk_index int, text string, embedding_text string, page_numbers array<int>, section_title string, section_path array<string>, "
+        f"block_types array<string>, semantic_unit_types array<string>, source_bboxes array<{_PLACE}>, overlap_with_previous_chars int"
+    )
+    arrow = _arrow(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
-                blocks = [b for b in row["blocks"] or [] if b and (b["text"] or "").strip()]
-                rows = make(row["source_document"] or "", row["source_fingerprint"] or "", blocks)
-                if rows:
-                    yield pa.RecordBatch.from_pylist(rows, arrow)
+            for i, units in enumerate(batch.column("units")):
+                chunks = pack_units(units.as_py(), target, most, overlap, table_max)
+                if chunks:
+                    n = len(chunks)
+                    key = [pa.array([batch.column(k)[i].as_py()] * n, pa.string()) for k in _KEY]
+                    own = [pa.array([x[name] for x in chunks], arrow.field(name).type) for name in names]
+                    yield pa.RecordBatch.from_arrays([*key, pa.array(range(n), pa.int32()), *own], [*_KEY, "chunk_index", *names])
 
-    return documents.select("source_document", "source_fingerprint", "blocks").mapInArrow(run, schema)
+    return _numbered(units.mapInArrow(run, schema), _SEMANTIC, F.array_join("section_path", " > "))
 
 
-def chunk_semantic(documents: DataFrame, target: int = TARGET, most: int = MAX, overlap: int = OVERLAP, table_max: int = TABLE_MAX) -> DataFrame:
-    """Semantic chunks of documents given as rows ``(source_document, source_fingerprint, blocks)``.
+def _arrow(schema: str) -> pa.Schema:
+    from pyspark.sql.pandas.types import to_arrow_schema
 
-    ``blocks`` is an array of structs in reading order. Chunks count from 0 within a document; see
-    :func:`.validation.renumber` for numbers over all. Null or empty blocks give no chunk, and a
-    heading that nothing follows gives none. A document is one row and one unit of work; nothing is shuffled.
-    """
-    if not 0 < target <= most:
-        raise ValueError("target must be positive and at most the maximum")
+    return to_arrow_schema(T._parse_datatype_string(schema))
 
-    def make(name: str, fingerprint: str, blocks: list[dict]) -> list[dict]:
-        return [
-            {"source_document": name, "chunk_index": i, "chunk_id": stable_id(fingerprint, name, str(i), " > ".join(c["section_path"]), c["text"]),
-             "page_number": c["page_numbers"][0], "page_start": c["page_numbers"][0], "page_end": c["page_numbers"][-1],
-             "source_fingerprint": fingerprint, "extraction_version": EXTRACTION_VERSION, "chunking_version": CHUNKING_VERSION, **c}
-            for i, c in enumerate(semantic_chunks(blocks, target, most, overlap, table_max))
-        ]
 
-    return _chunked(documents, _SEMANTIC, make)
+def pack_sections(texts: list[str], types: list[str | None], most: int = LAYOUT_MAX, overlap: int = LAYOUT_OVERLAP) -> list[tuple[str, str | None, int, int]]:
+    """``(text, title, first, stop)`` of chunks that don't cross sections; ``first`` to ``stop`` are the blocks of a chunk.
+
+    A heading starts a section. Blocks are packed in order; an oversized one is split by itself, a
+    table by rows, and nothing is packed across it.
+    """
+    out: list[tuple[str, str | None, int, int]] = []
+    title: str | None = None
+    start = size = 0
+
+    def close(stop: int) -> None:
+        nonlocal start, size
+        if start < stop:
+            out.append(("\n\n".join(texts[start:stop]), title, start, stop))
+        start, size = stop, 0
+
+    for i, (text, kind) in enumerate(zip(texts, types, strict=True)):
+        if kind == "heading":
+            close(i)
+            title = text
+        own = len(text)
+        if size + own > most:
+            close(i)
+        if own > most:
+            parts = split_table(text, most, overlap) if kind == "table" else split_windows(text, most, overlap)
+            out += [(p, title, i, i + 1) for p in parts]
+            start = i + 1
+        else:
+            size += own + 2
+    close(len(texts))
+    return out
 
 
 def chunk_layout(documents: DataFrame, most: int = LAYOUT_MAX, overlap: int = LAYOUT_OVERLAP) -> DataFrame:
-    """Layout chunks of documents given as for :func:`chunk_semantic`."""
+    """Layout chunks of documents given as for :func:`chunk_semantic`.
+
+    If there is a column ``pages``, an array of structs of page_number and text, a document none of
+    whose blocks has text is cut into windows of its pages' texts; such chunks have no identity,
+    section, types or page bounds. Each document is one row and one unit of work; nothing is shuffled.
+    """
     if most <= 0:
         raise ValueError("most must be positive")
+    schema = "source_document string, source_fingerprint string, chunk_index int, text string, page_numbers array<int>, section_title string, block_types array<string>, plain_page int"
+    names = [f.split()[0] for f in schema.split(", ")]
+    kinds = [_arrow(schema).field(n).type for n in names]
+    paged = "pages" in documents.columns
 
-    def make(name: str, fingerprint: str, blocks: list[dict]) -> list[dict]:
-        return [
-            {"source_document": name, "chunk_index": i, "chunk_id": stable_id(fingerprint, name, str(i), ",".join(map(str, c["page_numbers"])), c["section_title"] or "", c["text"]),
-             "page_number": c["page_numbers"][0], "page_start": c["page_numbers"][0], "page_end": c["page_numbers"][-1],
-             "source_fingerprint": fingerprint, "extraction_version": EXTRACTION_VERSION, **c}
-            for i, c in enumerate(layout_chunks(blocks, most, overlap))
-        ]
-
-    return _chunked(documents, _LAYOUT, make)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            blocks = batch.column("blocks")
+            # columns of all blocks at once; a document is a range of them
+            flat = blocks.flatten()
+            text, kind, page = (flat.field(flat.type.get_field_index(n)).to_pylist() for n in ("text", "block_type", "page_number"))
+            held = flat.is_valid().to_pylist()
+            ends, at = [], 0
+            for n in pa.compute.fill_null(pa.compute.list_value_length(blocks), 0).to_pylist():
+                at += n
+                ends.append(at)
+            names_of, prints = batch.column("source_document").to_pylist(), batch.column("source_fingerprint").to_pylist()
+            columns: list[list] = [[] for _ in names]
+            for doc, (first, stop) in enumerate(pairwise([0, *ends])):
+                own = [i for i in range(first, stop) if held[i] and text[i] and not text[i].isspace()]
+                rows = pack_sections([text[i] for i in own], [kind[i] for i in own], most, overlap)
+                made = [(t, sorted({page[i] for i in own[a:b] if page[i] is not None}), title, list(dict.fromkeys(kind[i] for i in own[a:b])), None) for t, title, a, b in rows]
+                if not own and paged:
+                    made = [(t, None, None, None, p["page_number"]) for p in batch.column("pages")[doc].as_py() or [] if p for t in split_windows(p["text"], most, overlap)]
+                for n, row in enumerate(made):
+                    for column, value in zip(columns, (names_of[doc] or "", prints[doc] or "", n, *row), strict=True):
+                        column.append(value)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
+
+    chunks = documents.select(*_KEY, "blocks", *(["pages"] if paged else [])).mapInArrow(run, schema)
+    pages = F.array_join(F.transform("page_numbers", lambda p: p.cast("string")), ",")
+    numbered = _numbered(chunks, (*_LAYOUT, "plain_page"), pages, X.text_or_empty(F.col("section_title")))
+    plain = F.col("plain_page").isNotNull()
+    bare = {n: F.when(~plain, F.col(n)) for n in ("chunk_id", "source_fingerprint", "extraction_version")}
+    return numbered.withColumns({"page_number": F.coalesce("plain_page", "page_number"), **bare}).drop("plain_page")
 
 
 def chunk_windows(texts: DataFrame, key: str, text: str = "text", most: int = LAYOUT_MAX, overlap: int = LAYOUT_OVERLAP) -> DataFrame:

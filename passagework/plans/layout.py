@@ -98,7 +98,7 @@ def reading(spark: SparkSession, d: str) -> DataFrame:
     n = F.col("pos") % 20
     x = F.when(n < 10, 50.0).otherwise(320.0)
     placed = lines(spark, d).withColumn("page", F.floor(F.col("pos") / 20).cast("int")).withColumn("bbox", F.array(x, n % 10 * 30.0, x + 200, n % 10 * 30.0 + 10))
-    parts = placed.select("doc_id", "page", "text", "bbox", F.lit(10.0).alias("font_size"), F.lit(False).alias("is_bold"), F.lit(False).alias("is_table"), F.lit(None).cast("int").alias("region"), F.col("pos").cast("int").alias("source_block"))
+    parts = placed.select("doc_id", "page", "text", "bbox", F.lit(10.0).alias("font_size"), F.lit(False).alias("is_bold"), F.lit(False).alias("is_table"), F.lit(None).cast("int").alias("region"), F.col("pos").cast("int").alias("source_block"), F.lit(612.0).alias("width"))
     return L.order_pages(parts, ["doc_id", "page"]).select("doc_id", "page", "reading_order", F.md5("text").alias("digest"))
 
 
@@ -154,4 +154,7 @@ SQL: dict[str, str] = {
         WHERE NOT EXISTS (SELECT 1 FROM hits h WHERE h.doc_id = b.doc_id AND h.pos = b.pos AND h.region_index = 1) GROUP BY 1""",
     "lay_smallest_region": f"""WITH {_LINES}, {_BOXED}, s AS (SELECT * FROM hits QUALIFY row_number() OVER (PARTITION BY doc_id, pos ORDER BY area, region_index) = 1)
         SELECT b.doc_id, CAST(s.region_index AS INTEGER) AS region_index, count(*) AS lines FROM boxed b LEFT JOIN s ON s.doc_id = b.doc_id AND s.pos = b.pos GROUP BY ALL""",
+    "lay_reading_order": f"""WITH {_LINES}, p AS (SELECT doc_id, CAST(floor(pos / 20) AS INTEGER) AS page, pos % 20 >= 10 AS aside, pos % 10 AS row_no, md5(text) AS digest FROM lines),
+        c AS (SELECT *, count(*) FILTER (WHERE NOT aside) OVER w >= 3 AND count(*) FILTER (WHERE aside) OVER w >= 3 AS columns FROM p WINDOW w AS (PARTITION BY doc_id, page))
+        SELECT doc_id, page, CAST(row_number() OVER (PARTITION BY doc_id, page ORDER BY CASE WHEN columns THEN aside ELSE false END, row_no, aside) - 1 AS INTEGER) AS reading_order, digest FROM c""",
 }

@@ -124,6 +124,37 @@ def test_columns_are_read_one_after_the_other():
     assert layout.reading_order([]) == []
 
 
+def boxes(**places):
+    return [{"text": t, "bbox": list(map(float, b))} for t, b in places.items()]
+
+
+def read(items, width=612.0):
+    return [i["text"] for i in layout.reading_order(items, width)]
+
+
+def test_three_columns_and_a_bar_across_two():
+    columns = [{"text": f"{c}{i}", "bbox": [x, 100.0 + 30 * i, x + 150, 110.0 + 30 * i]} for i in range(8) for c, x in (("a", 40.0), ("b", 220.0), ("c", 400.0))]
+    assert read(columns) == [f"{c}{i}" for c in "abc" for i in range(8)]
+    # the bar starts below b3's top, so b3 and a3 come before it
+    bar = boxes(bar=(40, 195, 370, 205))
+    assert read([c for c in columns if c["text"][0] != "c"] + bar) == [f"{c}{i}" for c in "ab" for i in range(4)] + ["bar"] + [f"{c}{i}" for c in "ab" for i in range(4, 8)]
+
+
+def test_what_is_no_column():
+    # three items are too few, a region narrower than a quarter of the page has no columns, and neither has a side of two items
+    assert read(boxes(a=(0, 0, 100, 10), b=(300, 1, 400, 11), c=(0, 40, 100, 50))) == ["a", "b", "c"]
+    narrow = [{"text": f"{c}{i}", "bbox": [x, 30.0 * i, x + 40, 30.0 * i + 10]} for i in range(4) for c, x in (("a", 0.0), ("b", 60.0))]
+    assert read(narrow) == [f"{c}{i}" for i in range(4) for c in "ab"] and read(narrow, 200.0) == [f"{c}{i}" for c in "ab" for i in range(4)]
+    few = [{"text": f"a{i}", "bbox": [0.0, 30.0 * i, 200.0, 30.0 * i + 10]} for i in range(4)] + boxes(b0=(300, 1, 500, 11), b1=(300, 31, 500, 41))
+    assert read(few) == ["a0", "b0", "a1", "b1", "a2", "a3"]
+    # a composite counts as its lines
+    assert read([*few[:4], few[4] | {"weight": 3}]) == ["a0", "a1", "a2", "a3", "b0"]
+
+
+def test_a_row_holds_what_starts_within_its_first_item():
+    assert read(boxes(a=(0, 0, 10, 5), c=(0, 4.5, 10, 9), b=(20, 3, 30, 8))) == ["a", "b", "c"]
+
+
 def test_lines_merge_into_blocks():
     lines = [{"bbox": [50, y, 200, y + 10], "text": t, "is_table": False} for y, t in ((0, "a"), (12, "b"), (60, "c"))]
     assert [b["text"] for b in layout.merge_lines(lines)] == ["a\nb", "c"]
@@ -180,9 +211,16 @@ def test_components(spark):
 def test_keyed(spark, monkeypatch):
     df = spark.createDataFrame([(1, "a", 1), (1, "b", 2), (2, "c", 1), (None, "d", 1)], "k int, v string, t int")
     assert sorted(map(tuple, keyed.once_per_key(df, "k", "t").collect())) == [(1, "b", 2), (2, "c", 1)]
+    wide = spark.createDataFrame([(i, "x" * 1000) for i in range(50)], "k int, w string")
+    assert keyed.fits_broadcast(wide) and keyed.fits_broadcast(wide.select("k"), 50)
+    monkeypatch.setattr(keyed, "BROADCAST_BYTES", 20_000)
+    assert not keyed.fits_broadcast(wide) and keyed.fits_broadcast(wide.select("k"), 50)
     monkeypatch.setattr(keyed, "BROADCAST_ROWS", 0)
     assert sorted(map(tuple, keyed.once_per_key(df, "k", "t").collect())) == [(1, "b", 2), (2, "c", 1)]
     hot = spark.range(1000).select((F.col("id") % 3 == 0).cast("int").alias("k"), "id")
     right = spark.createDataFrame([(1, "x"), (5, "y")], "k int, w string")
     assert keyed.join_bounded(hot, right, ["k"], F.col("id")).count() == 334
     assert keyed.join_bounded(hot, right.select("k"), ["k"], F.col("id"), "left_semi").count() == 334
+    assert keyed.join_bounded(hot, right, ["k"], F.col("id"), "left").count() == 1000
+    for spread in (None, F.col("id")):
+        assert [keyed.semi_or_anti(hot, right.select("k"), ["k"], how, spread=spread).count() for how in ("left_semi", "left_anti")] == [334, 666]

@@ -16,6 +16,8 @@ from .operators import answers, chunking, validation, vector
 from .session import local_session
 from .sources import readers, writers
 
+#: Hits that a search prints at most.
+MOST_HITS = 10_000
 RECORDS = (
     "chunk_index int, chunk_id string, text string, source_document string, page_number int, page_start int, page_end int, page_numbers array<int>, section_title string, block_types array<string>, "
     "source_fingerprint string, extraction_version string, chunking_version string, embedding_text string, section_path array<string>, semantic_unit_types array<string>, token_count int, embedding_max_tokens int, embedding array<float>"
@@ -45,6 +47,9 @@ def search(spark: SparkSession, args: argparse.Namespace) -> int:
     if not loaded:
         print("the index is empty", file=sys.stderr)
         return 1
+    if request.top_k > MOST_HITS:
+        print(f"top_k is above {MOST_HITS}", file=sys.stderr)
+        return 2
     hits = vector.search_one(index, request.embedding, request.top_k, args.embedding_dim, keep=("text", "source_document", "page_number")).collect()
     print(json.dumps([{"score": h.score, "text": h.text, "source_document": h.source_document, "page_number": h.page_number} for h in hits], ensure_ascii=False))
     return 0

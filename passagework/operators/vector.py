@@ -11,6 +11,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .keyed import join_bounded
+from .ordered import positions
+
 #: Queries that fit in one task beside a block of the index; more are searched in blocks.
 QUERIES_AT_ONCE = 4096
 #: Rows of the index in a block.
@@ -161,10 +164,14 @@ def to_sources(hits: DataFrame) -> DataFrame:
 def latency_stats(timings: DataFrame, value: str, by: str | None = None) -> DataFrame:
     """Mean and the p50, p90 and p99 of a benchmark: the element at ``floor(p * (n - 1))`` of the sorted values.
 
-    Ranks come from one window and the picks from a conditional aggregate, so that no group is gathered into an array.
+    Values are placed in one order by group and value (:func:`.ordered.positions`), so that no group
+    is a single window or array; what precedes a group is the least place of its values.
     """
-    keys = [by] if by else []
-    group = W.partitionBy(*keys) if by else W.partitionBy(F.lit(0))
-    ranked = timings.filter(F.col(value).isNotNull()).select(*keys, F.col(value).alias("_v")).withColumn("_i", F.row_number().over(group.orderBy("_v")) - 1).withColumn("_n", F.count("*").over(group))
-    picks = [F.max(F.when(F.col("_i") == F.floor(F.lit(p) * (F.col("_n") - 1)), F.col("_v"))).alias(name) for p, name in ((0.5, "p50"), (0.9, "p90"), (0.99, "p99"))]
-    return ranked.groupBy(*keys).agg(F.count("*").alias("n"), F.avg("_v").alias("mean"), *picks)
+    group = F.col(by) if by else F.lit(0)
+    placed = positions(timings.filter(F.col(value).isNotNull()).select(group.alias("_g"), F.col(value).alias("_v")), ["_g", "_v"])
+    sizes = placed.groupBy("_g").agg(F.count("*").alias("n"), F.avg("_v").alias("mean"), F.min("_position").alias("_first"))
+    near = join_bounded(placed.withColumn("_k", F.coalesce(F.xxhash64("_g"), F.lit(0))), sizes.withColumn("_k", F.coalesce(F.xxhash64("_g"), F.lit(0))).withColumnRenamed("_g", "_name"), ["_k"], F.col("_position"))
+    at = F.col("_position") - F.col("_first")
+    picks = [F.max(F.when(at == F.floor(F.lit(p) * (F.col("n") - 1)), F.col("_v"))).alias(name) for p, name in ((0.5, "p50"), (0.9, "p90"), (0.99, "p99"))]
+    found = near.groupBy("_k").agg(F.first("_name").alias("_name"), F.first("n").alias("n"), F.first("mean").alias("mean"), *picks)
+    return found.select(*([F.col("_name").alias(by)] if by else []), "n", "mean", "p50", "p90", "p99")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..operators import answers as A
-from ..operators.keyed import once_per_key
+from ..operators.keyed import join_bounded, once_per_key
 from ..session import table
 from ..sources import readers, writers
 from .text import _SOURCES
@@ -36,70 +36,39 @@ def known(spark: SparkSession, d: str) -> DataFrame:
     return A.known_documents(table(spark, d, "cache_entries"), table(spark, d, "sources").select(F.col("doc").alias("source_document")))
 
 
-def with_passages(spark: SparkSession, d: str) -> DataFrame:
-    """Questions with the passages of their first answer, at most five."""
-    s = once_per_key(table(spark, d, "sources"), "source_id").filter("question_id is not null")
-    first = s.groupBy("question_id").agg(F.min("answered_at").alias("_at"))
-    s = s.join(F.broadcast(first), "question_id").filter("answered_at = _at")
-    found = A.passages_by_question(A.normalize_passages(s.drop("_at")), "question_id", "rank_no")
-    q = once_per_key(table(spark, d, "qa_cases"), "id")
-    return q.join(found, q["id"] == found["question_id"], "left").drop("question_id")
-
-
 def requests(spark: SparkSession, d: str) -> DataFrame:
     """Every request, with its passages: a question and when it was answered, also if that is null; questions never asked come once."""
     s = once_per_key(table(spark, d, "sources"), "source_id").filter("question_id is not null")
     s = A.normalize_passages(s.withColumn("_request", F.struct("question_id", "answered_at")))
-    found = A.passages_by_question(s, "_request", "rank_no").select(F.col("_request.question_id").alias("question_id"), F.col("_request.answered_at").alias("answered_at"), "passages")
+    found = A.passages_by_question(s, "_request", "rank_no").select(F.col("_request.question_id").alias("id"), F.col("_request.answered_at").alias("answered_at"), "passages")
     q = once_per_key(table(spark, d, "qa_cases"), "id")
-    asked = found.join(F.broadcast(q), q["id"] == found["question_id"]).drop("question_id")
-    never = q.join(found.select("question_id").distinct(), q["id"] == F.col("question_id"), "left_anti")
+    asked = join_bounded(found, q, ["id"], F.col("answered_at"))
+    never = q.join(found.select("id").distinct(), "id", "left_anti")
     asked = asked.unionByName(never, allowMissingColumns=True)
     return asked.withColumn("request", F.concat("id", F.lit("@"), F.coalesce(F.unix_micros("answered_at").cast("string"), F.lit(""))))
 
 
-def request_prompts(spark: SparkSession, d: str) -> DataFrame:
+def prompts(spark: SparkSession, d: str) -> DataFrame:
     """The prompt of every request."""
     return requests(spark, d).select("id", "answered_at", F.md5(A.prompt(F.col("question"), F.col("passages"))).alias("digest"), F.coalesce(F.size("passages"), F.lit(0)).alias("passages"))
 
 
-def request_answers(spark: SparkSession, d: str) -> DataFrame:
+def answered(spark: SparkSession, d: str) -> DataFrame:
     """Answers of the stand-in model to every request."""
     return A.answer(requests(spark, d), "request").select("id", "answered_at", "answer", F.coalesce(F.size("sources"), F.lit(0)).alias("sources"))
 
 
-def request_checks(spark: SparkSession, d: str) -> DataFrame:
+def checked(spark: SparkSession, d: str) -> DataFrame:
     """Checks of the answers to all requests, by category."""
     return A.check_answers(A.answer(requests(spark, d), "request")).groupBy("category").agg(F.count("*").alias("total"), F.count_if("passed").alias("passed"))
 
 
-def request_chats(spark: SparkSession, d: str) -> DataFrame:
+def chats(spark: SparkSession, d: str) -> DataFrame:
     """The online path over all requests; a question with a digit 7 in its id fails to retrieve."""
     q = requests(spark, d).withColumn("retrieval_error", F.when(F.col("id").contains("7"), F.lit("timeout")))
     return A.chat(q, True, "request").select("id", "answered_at", F.md5("answer").alias("answer"), F.coalesce(F.size("sources"), F.lit(0)).alias("sources"))
 
 
-def prompts(spark: SparkSession, d: str) -> DataFrame:
-    """The prompt of every question."""
-    return with_passages(spark, d).select("id", F.md5(A.prompt(F.col("question"), F.col("passages"))).alias("digest"), F.coalesce(F.size("passages"), F.lit(0)).alias("passages"))
-
-
-def answered(spark: SparkSession, d: str) -> DataFrame:
-    """Answers of the stand-in model."""
-    return A.answer(with_passages(spark, d)).select("id", "answer", F.coalesce(F.size("sources"), F.lit(0)).alias("sources"))
-
-
-def checked(spark: SparkSession, d: str) -> DataFrame:
-    """Checks of the answers, by category."""
-    return A.check_answers(A.answer(with_passages(spark, d))).groupBy("category").agg(F.count("*").alias("total"), F.count_if("passed").alias("passed"))
-
-
-def chats(spark: SparkSession, d: str) -> DataFrame:
-    """The online path over all questions; a question with a digit 7 in its id fails to retrieve."""
-    q = with_passages(spark, d).withColumn("retrieval_error", F.when(F.col("id").contains("7"), F.lit("timeout")))
-    return A.chat(q, True).select("id", F.md5("answer").alias("answer"), F.coalesce(F.size("sources"), F.lit(0)).alias("sources"))
-
-
 def cache(spark: SparkSession, d: str) -> DataFrame:
     """Cache status of every document version in the chunks."""
     manifest = table(spark, d, "chunks").select("source_document", "source_fingerprint", "extraction_version").distinct()
@@ -116,9 +85,8 @@ def round_trip(spark: SparkSession, d: str) -> DataFrame:
 
 
 _PASSAGE = "coalesce(nullif(snippet, ''), '') AS text, coalesce(nullif(doc, ''), 'Unknown') AS source_document, coalesce(page, 0) AS page_number, coalesce(score, 0.0) AS score"
-_FIRST = f"""s AS (SELECT question_id, rank_no, answered_at, {_PASSAGE} FROM {_SOURCES} WHERE question_id IS NOT NULL),
-    p AS (SELECT * FROM s QUALIFY answered_at = min(answered_at) OVER (PARTITION BY question_id)), n AS (SELECT question_id, count(*) AS passages FROM p GROUP BY 1),
-    q AS (SELECT DISTINCT ON (id) c.*, coalesce(n.passages, 0) AS passages FROM qa_cases c LEFT JOIN n ON n.question_id = c.id)"""
+_ALL = f"""p AS (SELECT question_id, rank_no, answered_at, {_PASSAGE} FROM {_SOURCES} WHERE question_id IS NOT NULL), n AS (SELECT question_id, answered_at, count(*) AS passages FROM p GROUP BY 1, 2),
+    q AS (SELECT DISTINCT ON (id, answered_at) c.*, n.answered_at, coalesce(n.passages, 0) AS passages FROM qa_cases c LEFT JOIN n ON n.question_id = c.id)"""
 _BLANK = f"regexp_replace(coalesce(question, ''), '^{X.SPACE}+|{X.SPACE}+$', '', 'g') = ''"
 
 
@@ -130,7 +98,6 @@ _ANSWER = f"CASE WHEN {_BLANK} THEN {_quoted(A.INVALID_QUESTION)} WHEN passages
 _ADMITS = "(" + " OR ".join(f"contains(lower(answer), {_quoted(p)})" for p in A.INSUFFICIENT_PHRASES) + ")"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "rag_passages": normalized, "rag_source_rollup": rollup, "rag_known_documents": known, "rag_prompts": prompts, "rag_answers": answered, "rag_checks": checked, "rag_chat": chats,
-    "rag_request_prompts": request_prompts, "rag_request_answers": request_answers, "rag_request_checks": request_checks, "rag_request_chat": request_chats,
     "src_cache_status": cache, "src_cache_stats": lambda spark, d: readers.cache_stats(cache(spark, d)), "src_index_load": round_trip,
 }
 SQL: dict[str, str] = {
@@ -140,15 +107,15 @@ SQL: dict[str, str] = {
     "rag_known_documents": """WITH k AS (SELECT DISTINCT source_document FROM cache_entries WHERE source_document IS NOT NULL), r AS (SELECT DISTINCT doc AS source_document FROM sources WHERE doc IS NOT NULL),
         u AS (SELECT coalesce(k.source_document, r.source_document) AS source_document, CASE WHEN k.source_document IS NULL THEN 'unknown' WHEN r.source_document IS NULL THEN 'inactive' ELSE 'active' END AS state FROM k FULL JOIN r ON k.source_document = r.source_document)
         SELECT source_document, replace(regexp_replace(source_document, '(?i)\\.pdf$', ''), '_', ' ') AS label, state FROM u""",
-    "rag_prompts": f"""WITH {_FIRST}, b AS (SELECT question_id, string_agg('[Source ' || i || ']' || chr(10) || 'Document: ' || source_document || chr(10) || 'Page: ' || page_number || chr(10) || 'Score: ' || score || chr(10) || 'Text: ' || text, chr(10) || chr(10) ORDER BY i) AS context
-            FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY rank_no, text, source_document, page_number, score) AS i FROM p) GROUP BY 1)
-        SELECT id, md5(regexp_replace('SYSTEM PROMPT:' || chr(10) || {_quoted(A.SYSTEM_PROMPT)} || chr(10) || chr(10) || 'USER QUESTION:' || chr(10) || coalesce(question, '') || chr(10) || chr(10) || 'RETRIEVED DOCUMENT CHUNKS:' || chr(10)
-            || coalesce(context, {_quoted(A.NO_CHUNKS)}) || chr(10) || chr(10) || 'TASK:' || chr(10) || {_quoted(A.TASK)}, '^{X.SPACE}+|{X.SPACE}+$', '', 'g')) AS digest, CAST(passages AS INTEGER) AS passages FROM q LEFT JOIN b ON b.question_id = q.id""",
-    "rag_answers": f"WITH {_FIRST} SELECT id, {_ANSWER} AS answer, CAST(CASE WHEN {_BLANK} THEN 0 ELSE passages END AS INTEGER) AS sources FROM q",
-    "rag_checks": f"""WITH {_FIRST}, a AS (SELECT *, {_ANSWER} AS answer, CASE WHEN {_BLANK} THEN 0 ELSE passages END AS n FROM q)
+    "rag_prompts": f"""WITH {_ALL}, b AS (SELECT question_id, answered_at, string_agg('[Source ' || i || ']' || chr(10) || 'Document: ' || source_document || chr(10) || 'Page: ' || page_number || chr(10) || 'Score: ' || score || chr(10) || 'Text: ' || text, chr(10) || chr(10) ORDER BY i) AS context
+            FROM (SELECT *, row_number() OVER (PARTITION BY question_id, answered_at ORDER BY rank_no, text, source_document, page_number, score) AS i FROM p) GROUP BY 1, 2)
+        SELECT id, q.answered_at, md5(regexp_replace('SYSTEM PROMPT:' || chr(10) || {_quoted(A.SYSTEM_PROMPT)} || chr(10) || chr(10) || 'USER QUESTION:' || chr(10) || coalesce(question, '') || chr(10) || chr(10) || 'RETRIEVED DOCUMENT CHUNKS:' || chr(10)
+            || coalesce(context, {_quoted(A.NO_CHUNKS)}) || chr(10) || chr(10) || 'TASK:' || chr(10) || {_quoted(A.TASK)}, '^{X.SPACE}+|{X.SPACE}+$', '', 'g')) AS digest, CAST(passages AS INTEGER) AS passages FROM q LEFT JOIN b ON b.question_id = q.id AND b.answered_at IS NOT DISTINCT FROM q.answered_at""",
+    "rag_answers": f"WITH {_ALL} SELECT id, answered_at, {_ANSWER} AS answer, CAST(CASE WHEN {_BLANK} THEN 0 ELSE passages END AS INTEGER) AS sources FROM q",
+    "rag_checks": f"""WITH {_ALL}, a AS (SELECT *, {_ANSWER} AS answer, CASE WHEN {_BLANK} THEN 0 ELSE passages END AS n FROM q)
         SELECT category, count(*) AS total, count(*) FILTER (WHERE CASE WHEN category = 'empty_question' THEN contains(lower(answer), 'valid question') WHEN category IN ('insufficient_context', 'unrelated_question') THEN {_ADMITS}
             WHEN category IN ({", ".join(map(_quoted, A.CATEGORIES_WITH_SOURCES))}) THEN n > 0 ELSE true END) AS passed FROM a GROUP BY 1""",
-    "rag_chat": f"""WITH {_FIRST} SELECT id, md5(CASE WHEN contains(id, '7') THEN 'Retrieval failed: timeout' WHEN passages = 0 THEN 'No relevant passages found for: "' || coalesce(question, '') || '".' ELSE {_ANSWER} END) AS answer,
+    "rag_chat": f"""WITH {_ALL} SELECT id, answered_at, md5(CASE WHEN contains(id, '7') THEN 'Retrieval failed: timeout' WHEN passages = 0 THEN 'No relevant passages found for: "' || coalesce(question, '') || '".' ELSE {_ANSWER} END) AS answer,
         CAST(CASE WHEN contains(id, '7') THEN 0 ELSE passages END AS INTEGER) AS sources FROM q""",
     "src_cache_status": """WITH m AS (SELECT DISTINCT source_document, source_fingerprint, extraction_version FROM chunks)
         SELECT m.*, CASE WHEN c.source_fingerprint IS NULL THEN 'miss' WHEN c.page_count IS NOT NULL AND c.source_document = m.source_document THEN 'hit' ELSE 'invalid' END AS cache_status

@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as X
@@ -34,11 +33,8 @@ def summary(spark: SparkSession, d: str) -> DataFrame:
 
 def overlaps(spark: SparkSession, d: str) -> DataFrame:
     """Words that each chunk shares with its neighbours in the document, by the fold the viewer shows."""
-    order = W.partitionBy("source_document").orderBy("chunk_index")
-    rows = chunks(spark, d).select("chunk_index", "source_document", X.split_words(F.col("text")).alias("_words"))
-    rows = rows.withColumn("_before", F.coalesce(F.lag("_words").over(order), F.array().cast("array<string>")))
-    rows = rows.select("chunk_index", "source_document", F.size("_words").alias("total_words"), X.common_overlap(F.col("_before"), F.col("_words")).alias("overlap_previous"))
-    return rows.withColumn("overlap_next", F.coalesce(F.lead("overlap_previous").over(order), F.lit(0)))
+    rows = chunks(spark, d).select("chunk_index", "source_document", "text")
+    return V.neighbour_overlaps(rows).select("chunk_index", "source_document", "total_words", "overlap_previous", "overlap_next")
 
 
 def corpus(spark: SparkSession, d: str) -> DataFrame:

@@ -139,11 +139,11 @@ def test_every_request_is_answered(spark, tmp_path):
     schema = "source_id long, question_id string, rank_no int, doc string, page int, snippet string, score double, answered_at string"
     spark.createDataFrame(rows, schema).withColumn("answered_at", F.col("answered_at").cast("timestamp")).write.parquet(f"{tmp_path}/sources.parquet")
     spark.createDataFrame([("q1", "fees", "What fee?", ""), ("q2", "fees", "Never asked?", "")], "id string, category string, question string, expected_behavior string").write.parquet(f"{tmp_path}/qa_cases.parquet")
-    got = [(r.id, str(r.answered_at), r.passages) for r in plans.QUERIES["rag_request_prompts"](spark, str(tmp_path)).collect()]
+    got = [(r.id, str(r.answered_at), r.passages) for r in plans.QUERIES["rag_prompts"](spark, str(tmp_path)).collect()]
     assert sorted(got) == [("q1", "2026-01-01 00:00:00", 2), ("q1", "2026-01-02 00:00:00", 2), ("q1", "None", 2), ("q2", "None", 0)]
-    for name in ("rag_request_answers", "rag_request_chat"):
+    for name in ("rag_answers", "rag_chat"):
         assert sorted(r.sources for r in plans.QUERIES[name](spark, str(tmp_path)).collect()) == [0, 2, 2, 2]
-    assert [r.total for r in plans.QUERIES["rag_request_checks"](spark, str(tmp_path)).collect()] == [4]
+    assert [r.total for r in plans.QUERIES["rag_checks"](spark, str(tmp_path)).collect()] == [4]
 
 
 def test_rollups(spark):

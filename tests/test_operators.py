@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from passagework.operators import graph, keyed, layout, validation, vector
+from passagework.operators import graph, keyed, layout, ordered, validation, vector
 
 HIT = "chunk_index int, embedding array<float>"
 
@@ -107,6 +107,28 @@ def test_renumber_and_oversized(spark):
     assert (o.oversized, o.message) == (1, "chunk 1 has 300")
 
 
+def test_indexes_stand_in_the_order_of_lines(spark):
+    def in_order(*rows):
+        return validation.contiguous(spark.createDataFrame(rows, "chunk_index int, line long"), line="line").first()[0]
+
+    assert in_order((0, 1), (1, 2), (2, 9)) and not in_order((0, 1), (2, 2), (1, 3)) and not in_order((1, 1), (2, 2))
+    assert validation.contiguous(spark.createDataFrame([], "chunk_index int, line long"), line="line").first()[0]
+
+
+def test_a_hot_document_is_parted(spark, monkeypatch):
+    monkeypatch.setattr(ordered, "STRETCH", 10)
+    rows = [(i, "hot" if i % 3 else f"d{i}", f"w{i} a w{i + 1}" if i % 2 else f"w{i} b w{i + 1}") for i in range(300)] + [(300, None, "w b"), (301, None, "b c")]
+    df = spark.createDataFrame(rows, "chunk_index int, source_document string, text string")
+    sizes = ordered.stretches(ordered.positions(df, ["source_document", "chunk_index"])).groupBy("_stretch").count().agg(F.max("count")).first()[0]
+    assert sizes <= 12
+    parts = ordered.positions(df, ["source_document", "chunk_index"], "n").orderBy("n").collect()
+    assert [r.n for r in parts] == list(range(302)) and [(r.source_document or "", r.chunk_index) for r in parts] == sorted((s or "", i) for i, s, _ in rows)
+    got = {r.chunk_index: (r.total_words, r.overlap_previous, r.overlap_next) for r in validation.neighbour_overlaps(df).collect()}
+    assert len(got) == 302 and got[1] == (3, 0, 1) and got[2] == (3, 1, 0) and got[3] == (3, 0, 0) and got[300] == (2, 0, 1) and got[301] == (2, 1, 0)
+    stats = {r.g: (r.n, r.p50, r.p90) for r in vector.latency_stats(spark.createDataFrame([("a", float(i)) for i in range(101)] + [(None, 3.0), ("b", None)], "g string, v double"), "v", "g").collect()}
+    assert stats == {"a": (101, 50.0, 90.0), None: (1, 3.0, 3.0)}
+
+
 def test_sections_and_paths(spark):
     blocks = spark.createDataFrame([("d", 0, "Intro", None), ("d", 1, "1 Fees", 1), ("d", 2, "detail", None), ("d", 3, "1.1 More", 2), ("d", 4, "x", None), ("d", 5, "2 End", 1), ("d", 6, "y", None)], "doc string, pos int, text string, level int")
     got = layout.sections(blocks, "doc", "pos", F.col("level").isNotNull()).orderBy("pos").collect()

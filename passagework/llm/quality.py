@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
@@ -18,25 +17,35 @@ from .words import words_of
 #: The list of common words is fixed and small; more than this is another table by mistake.
 MOST_COMMON_WORDS = 100_000
 SHARES = ("prose_share", "list_share", "table_share", "junk_share")
-STATISTICS = ("n_chars", "n_words", "mean_word_length", "symbol_ratio", "ended_line_share", "common_word_share", *SHARES, "line_share", "paragraph_share", "phrase_share")
+REPEATED = ("line_share", "paragraph_share", "phrase_share")
+STATISTICS = ("n_chars", "n_words", "mean_word_length", "symbol_ratio", "ended_line_share", "common_word_share", *SHARES, *REPEATED)
+
+
+#: From these shares a text is filler: one phrase covers most of it, and hardly any word is a common one.
+FILLER_PHRASE, FILLER_COMMON = 0.5, 0.05
 
 
 def judge(stats: dict[str, float]) -> str:
-    """The kind of a text from its statistics: combined rules over the shares of its characters.
+    """The kind of a text from its statistics: combined rules over the shares of its characters, its words and its repetition.
 
     A kind other than prose needs the larger part. What is left as prose but has overlong words,
-    next to no common words and many symbols is no prose either.
+    next to no common words and many symbols is no prose either, nor is filler: words without any
+    common ones among them, most of which belong to one phrase that is repeated. Prose that repeats
+    itself has common words and stays prose.
     """
     other = max(SHARES[1:], key=lambda s: stats[s])
     if stats["prose_share"] * 2 < 1:
         return other.split("_")[0]
-    if stats["n_words"] and stats["mean_word_length"] > 20 and stats["common_word_share"] < 0.05 and stats["symbol_ratio"] > 0.15:
+    rare = stats["common_word_share"] < FILLER_COMMON
+    if stats["n_words"] and rare and stats["mean_word_length"] > 20 and stats["symbol_ratio"] > 0.15:
+        return "junk"
+    if rare and stats["phrase_share"] >= FILLER_PHRASE:
         return "junk"
     return "prose"
 
 
 def statistics(text: str, common: frozenset[str]) -> dict[str, float]:
-    """Statistics of one text that don't need its runs of words."""
+    """Statistics of one text but for its repetition."""
     sizes = {"text": 0, "list": 0, "table": 0, "junk": 0}
     solid = ended = 0
     for line, kind in kinds(text):
@@ -61,8 +70,8 @@ def profile(chunks: DataFrame, common_words: DataFrame, key: str = "chunk_index"
 
     ``prose_share``, ``list_share``, ``table_share`` and ``junk_share`` are shares of characters by
     the kind of line (see :mod:`.kinds`); ``line_share`` and ``paragraph_share`` are shares of
-    characters in repeated lines and paragraphs, ``phrase_share`` is the coverage of the dominant
-    run of three words, all null for short texts. Null and blank texts have a null kind and zeros.
+    characters in repeated lines and paragraphs, ``phrase_share`` is the share of letters and digits
+    that the dominant run of three words covers. Null and blank texts have a null kind and zeros.
     Rows with a null key are dropped; other columns are not read. One pass, no shuffle.
     """
     words = [r[0] for r in common_words.select("word").distinct().limit(MOST_COMMON_WORDS + 1).collect()]
@@ -76,16 +85,13 @@ def profile(chunks: DataFrame, common_words: DataFrame, key: str = "chunk_index"
         for batch in batches:
             texts, keys = batch.column(text).to_pylist(), batch.column(key)
             for part in by_size(texts):
-                repeated = measure(texts[part])
+                repeated = measure(texts[part], every=True)
                 found, judged = [], []
-                for value in texts[part]:
-                    found.append(statistics(value or "", common))
+                for i, value in enumerate(texts[part]):
+                    found.append(statistics(value or "", common) | {s: float(repeated[s][i]) for s in REPEATED})
                     judged.append(judge(found[-1]) if value and clean(value).strip() else None)
                 columns = [pa.array(judged, pa.string())]
-                for s in STATISTICS:
-                    own = found and s in found[0]
-                    values = np.array([f[s] for f in found]) if own else repeated[s]
-                    columns.append(pa.array(values, pa.int64() if s.startswith("n_") else pa.float64(), from_pandas=True))
+                columns += [pa.array([f[s] for f in found], pa.int64() if s.startswith("n_") else pa.float64()) for s in STATISTICS]
                 yield pa.RecordBatch.from_arrays([keys.slice(part.start, part.stop - part.start), *columns], [key, "kind", *STATISTICS])
 
     return rows.select(key, text).mapInArrow(run, schema)

@@ -14,32 +14,37 @@ from pyspark.sql import functions as F
 from ..operators.keyed import once_per_key
 from ..session import materialize, table
 from .encoding import by_size
-from .words import numbered, runs
+from .words import lengths_of, numbered, run_places, runs
 
 #: Words of a run, words a text needs, and the repeated share of runs from which a text counts as repetitive.
 RUN, LEAST_WORDS, LEAST_SHARE = 5, 30, 0.25
-MEASURES = ("run_share", "line_share", "paragraph_share", "sentence_share", "phrase_share")
-#: Each rule's measure, and the values from which it votes "repetitive" and up to which it votes "not".
-RULES = (("run_share", LEAST_SHARE, 0.05), ("line_share", 0.3, 0.05), ("paragraph_share", 0.3, 0.0), ("sentence_share", 0.3, 0.05), ("phrase_share", 0.12, 0.04))
+MEASURES = ("run_share", "triple_share", "word_share", "line_share", "paragraph_share", "sentence_share", "phrase_share")
+#: Each rule's measure, and the values from which it votes "repetitive" and up to which it votes "not". The share that
+#: defines the cases is none of them: it is computed for what the posterior keeps.
+RULES = (("triple_share", 0.2, 0.08), ("word_share", 0.9, 0.5), ("line_share", 0.3, 0.05), ("paragraph_share", 0.3, 0.0), ("sentence_share", 0.3, 0.05), ("phrase_share", 0.12, 0.03))
 ABSTAIN = -1
+#: The posterior probability from which a text is kept. Low, since a text that is kept for nothing is only counted exactly.
+LEAST_POSTERIOR = 0.05
 _SENTENCE = re.compile(r"(?<=[.!?])\s+")
 _PARAGRAPH = re.compile(r"\n\s*\n")
 
 
-def repeated_share(parts: list[str], least: int) -> float:
-    """Share of characters in parts that stood earlier; null for fewer than ``least`` parts."""
+def repeated_share(parts: list[str], least: int = 1) -> float:
+    """Share of characters in parts that stood earlier; null for fewer than ``least`` parts, 0 for no part."""
     parts = [p for p in map(str.strip, parts) if p]
     if len(parts) < least:
         return float("nan")
     total = sum(map(len, parts))
-    return 1 - sum(map(len, set(parts))) / total
+    return 1 - sum(map(len, set(parts))) / total if parts else 0.0
 
 
-def measure(texts: list[str | None]) -> dict[str, np.ndarray]:
-    """The measures of each text; NaN where a text is too short for one."""
+def measure(texts: list[str | None], every: bool = False) -> dict[str, np.ndarray]:
+    """The measures of each text; NaN where a text is too short for one, unless ``every`` text is to have them."""
     words, counts = numbered(texts)
     out = {"n_words": counts}
-    for n, name in ((RUN, "run_share"), (3, "phrase_share")):
+    enough = counts >= (1 if every else LEAST_WORDS)
+    empty = 0.0 if every else np.nan
+    for n, name in ((RUN, "run_share"), (1, "word_share"), (3, "triple_share")):
         hashes, per_text = runs(words, counts, n)
         owner = np.repeat(np.arange(len(texts)), per_text)
         with np.errstate(over="ignore"):
@@ -48,23 +53,43 @@ def measure(texts: list[str | None]) -> dict[str, np.ndarray]:
         ordered, owners = mixed[order], owner[order]
         new = np.ones(len(ordered), bool)
         new[1:] = ordered[1:] != ordered[:-1]
-        with np.errstate(invalid="ignore", divide="ignore"):
-            if name == "run_share":
-                distinct = np.bincount(owners[new], minlength=len(texts))
-                out["n_runs"], out["n_repeated"] = per_text, per_text - distinct
-                out[name] = np.where(counts >= LEAST_WORDS, (per_text - distinct) / per_text, np.nan)
-            else:
-                at = np.flatnonzero(new)
-                times = np.diff(np.append(at, len(ordered)))
-                most = np.zeros(len(texts), np.int64)
-                np.maximum.at(most, owners[at], times)
-                out[name] = np.where(counts >= LEAST_WORDS, np.minimum(1, np.where(most > 1, most * n, 0) / np.maximum(counts, 1)), np.nan)
-    out["line_share"] = np.array([repeated_share((t or "").split("\n"), 4) for t in texts])
-    out["paragraph_share"] = np.array([repeated_share(_PARAGRAPH.split(t or ""), 3) for t in texts])
-    out["sentence_share"] = np.array([repeated_share(_SENTENCE.split(t or ""), 4) for t in texts])
+        repeated = per_text - np.bincount(owners[new], minlength=len(texts))
+        out[name] = np.where(enough, repeated / np.maximum(per_text, 1), empty)
+        if name == "run_share":
+            out["n_runs"], out["n_repeated"] = per_text, repeated
+    out["phrase_share"] = np.where(enough, _dominant(texts, counts, np.flatnonzero(new), ordered, owners, order), empty)
+    out["line_share"] = np.array([repeated_share((t or "").split("\n"), 0 if every else 4) for t in texts])
+    out["paragraph_share"] = np.array([repeated_share(_PARAGRAPH.split(t or ""), 0 if every else 3) for t in texts])
+    out["sentence_share"] = np.array([repeated_share(_SENTENCE.split(t or ""), 0 if every else 4) for t in texts])
     return out
 
 
+def _dominant(texts: list[str | None], counts: np.ndarray, at: np.ndarray, ordered: np.ndarray, owners: np.ndarray, order: np.ndarray) -> np.ndarray:
+    """The share of each text's letters and digits that its commonest run of three words covers; 0 if none comes twice.
+
+    ``ordered`` are the sorted runs, which start anew ``at`` the given places, with their texts and places.
+    """
+    out = np.zeros(len(texts))
+    times = np.diff(np.append(at, len(ordered)))
+    if not len(at) or times.max() < 2:
+        return out
+    lengths = lengths_of(texts)
+    most = np.zeros(len(texts), np.int64)
+    np.maximum.at(most, owners[at], times)
+    # of runs that are equally common the first in order; all of its occurrences
+    best = at[(times == most[owners[at]]) & (times > 1)]
+    best = best[np.unique(owners[best], return_index=True)[1]]
+    size = most[owners[best]]
+    inside = np.repeat(best - (np.cumsum(size) - size), size) + np.arange(size.sum())
+    first = run_places(counts, 3)[order[inside]]
+    covered = np.zeros(len(lengths), bool)
+    for k in range(3):
+        covered[first + k] = True
+    text_of = np.repeat(np.arange(len(texts)), counts)
+    total = np.bincount(text_of, lengths, len(texts))
+    return np.bincount(text_of, lengths * covered, len(texts)) / np.maximum(total, 1)
+
+
 def estimate(patterns: dict[tuple[int, ...], int], rounds: int = 100, prior: float = 0.1) -> dict[tuple[int, ...], float]:
     """Posterior probability of "repetitive" for each pattern of votes, by expectation-maximisation.
 
@@ -97,10 +122,11 @@ def score(documents: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     """Each record once: its measures, each rule's vote, and the posterior probability that it is repetitive.
 
     ``run_share`` is the share of runs of five words, by position, whose words stood in that order
-    earlier in the text; ``line_share``, ``paragraph_share`` and ``sentence_share`` are shares of
-    characters in repeated parts; ``phrase_share`` is what the commonest run of three words covers, overlaps counted twice, at most 1.
+    earlier in the text, ``triple_share`` that of runs of three and ``word_share`` that of single words; ``line_share``,
+    ``paragraph_share`` and ``sentence_share`` are shares of characters in repeated parts;
+    ``phrase_share`` is the share of the letters and digits that the commonest run of three words covers.
     A rule votes 1 or 0 on one measure or abstains (-1) between its limits or where the text is
-    too short. The number of records with each pattern of votes, at most 3^5 rows, is all that
+    too short. The number of records with each pattern of votes, at most 3^6 rows, is all that
     the estimate needs; it comes from all records. Null and empty texts have null measures and
     only abstentions. Rows with a null key are dropped; other columns are not read.
     """
@@ -129,15 +155,15 @@ def score(documents: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     return voted.join(F.broadcast(table_of), names, "left").select(key, "n_words", "n_runs", "n_repeated", *MEASURES, *names, "posterior")
 
 
+def repetitive(documents: DataFrame, key: str = "doc_id", text: str = "text", least: float = LEAST_POSTERIOR) -> DataFrame:
+    """The scores of records that the posterior keeps and whose repeated share, counted exactly, is at least ``LEAST_SHARE``."""
+    kept = score(documents, key, text).filter(F.col("posterior") >= least)
+    return kept.filter((F.col("n_words") >= LEAST_WORDS) & (F.col("n_repeated") >= LEAST_SHARE * F.col("n_runs")))
+
+
 def found(spark: SparkSession, d: str) -> DataFrame:
-    """p9_found: what some rule or the posterior holds to be repetitive, then the exact share."""
-    scored = score(table(spark, d, "documents"))
-    suspect = F.greatest(*[F.col(f"vote_{m}") for m, _, _ in RULES]) == 1
-    return (
-        scored.filter(suspect | (F.col("posterior") >= 0.5))
-        .filter((F.col("n_words") >= LEAST_WORDS) & (F.col("n_repeated") >= LEAST_SHARE * F.col("n_runs")))
-        .select(F.col("doc_id").cast("long").alias("doc_id"))
-    )
+    """p9_found: what the posterior keeps, by the exact share."""
+    return repetitive(table(spark, d, "documents")).select(F.col("doc_id").cast("long").alias("doc_id"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

@@ -42,6 +42,18 @@ def numbered(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     return np.array(out, np.uint64), np.array(counts, np.int64)
 
 
+def lengths_of(texts: list[str | None]) -> np.ndarray:
+    """The length of each word, in the order of :func:`numbered`."""
+    return np.array([len(w) for text in texts if text for w in _FIND(text.lower())], np.int64)
+
+
+def run_places(counts: np.ndarray, n: int) -> np.ndarray:
+    """The place of the first word of each run of ``n`` words of one text, in the order of :func:`runs`."""
+    per_text = np.maximum(counts - n + 1, 0)
+    starts = np.cumsum(counts) - counts
+    return np.arange(per_text.sum()) + np.repeat(starts - (np.cumsum(per_text) - per_text), per_text)
+
+
 def runs(words: np.ndarray, counts: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """A number for each run of ``n`` consecutive words, and the number of each text's runs.
 
@@ -56,10 +68,4 @@ def runs(words: np.ndarray, counts: np.ndarray, n: int) -> tuple[np.ndarray, np.
         for k in range(n):
             mixed = (mixed ^ words[k : k + total]) * _MIX
             mixed ^= mixed >> np.uint64(29)
-    ends = np.cumsum(counts)
-    starts = ends - counts
-    inside = np.zeros(total + 1, np.int64)
-    some = per_text > 0
-    np.add.at(inside, starts[some], 1)
-    np.add.at(inside, starts[some] + per_text[some], -1)
-    return mixed[np.cumsum(inside)[:-1] > 0], per_text
+    return mixed[run_places(counts, n)], per_text

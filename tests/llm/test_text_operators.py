@@ -50,6 +50,27 @@ def test_lines_equal_brute_force(spark):
     assert cleaned[next(r[0] for r in rows if r[1] is None)].text is None
 
 
+def test_trees_learn_slots_and_are_merged(spark):
+    tree = lines.TemplateTree(0.7)
+    one, two = (tree.parse(f"share this page with {who} · save to {where}".replace("· ", "").split(" ")) for who, where in (("anna", "kelso"), ("bert", "mavel")))
+    assert one is two and one.slots == ["share", "this", "page", "with", "*", "save", "to", "*"]
+    # another length, another start, and too little in common are other templates
+    assert len({id(tree.parse(t.split(" "))) for t in ("share this page with anna save to", "send this page with anna save to kelso", "share this page now or never my friend")} | {id(one)}) == 4
+    assert tree.size == len(list(tree.templates())) == 4
+    exact = lines.TemplateTree()
+    assert exact.parse(["a", "0"]) is exact.parse(["a", "0"]) is not exact.parse(["a", "b"])
+
+    # every line differs by a name: exact trees find nothing, trees with slots find them all, whatever task and batch they are in
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    rows = [(i, f"Share this page with your friend N{'x' * (i % 7)}q{'y' * i} · Save to M{'z' * i}\n{'k' * i}a {'m' * i}b {'n' * i}c stands here", "a") for i in range(40)]
+    try:
+        assert lines.find(chunks(spark, rows)).count() == 0
+        got = {tuple(r) for r in lines.find(chunks(spark, rows).repartition(5), similarity=0.7).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == {(i, 1) for i in range(40)}
+
+
 def test_lines_of_nothing(spark):
     empty = chunks(spark, [(0, "x", "a")]).limit(0)
     assert lines.find(empty).count() == lines.remove(empty).count() == 0
@@ -106,6 +127,25 @@ def test_kinds():
     assert {t: kinds.main_kind(t)[0] for t in KINDS} == KINDS
 
 
+def test_repetition_tells_filler_from_prose():
+    filler = ". ".join(["Zorba vante kulpo"] * 12) + "."
+    unlike = ". ".join(f"Zorb{a}a vant{b}e kulp{a}{b}o" for a in "bdfg" for b in "klm") + "."
+    prose = ". ".join(["The owner may sign the form"] * 12) + "."
+    common = frozenset({"the", "may"})
+
+    def kind(text):
+        return quality.judge(quality.statistics(text, common) | {s: float(v[0]) for s, v in repetition.measure([text], every=True).items() if s in quality.REPEATED})
+
+    # without the coverage of the dominant phrase the first were prose, as the second is
+    assert (kind(filler), kind(unlike), kind(prose)) == ("junk", "prose", "prose")
+
+
+def test_shares_of_short_texts():
+    got = repetition.measure(["a b c\na b c", "x", None, "one two one two one two three"], every=True)
+    assert got["line_share"].tolist() == [0.5, 0, 0, 0] and got["phrase_share"].round(3).tolist() == [1, 0, 0, round(15 / 23, 3)]
+    assert not any(map(float, got["paragraph_share"])) and repetition.measure(["a b c"])["line_share"][0] != repetition.measure(["a b c"])["line_share"][0]
+
+
 def test_statistics(spark):
     texts = [*KINDS, None, "", " \n\t", "x" * 50_000]
     rows = [(i, t, "s") for i, t in enumerate(texts)] + [(0, texts[0], "s"), (None, "a", "s")]
@@ -167,6 +207,20 @@ def test_repetition_equals_brute_force(spark):
     assert repetition.score(df.limit(0)).count() == 0
 
 
+def test_the_posterior_decides(spark, monkeypatch):
+    rng = random.Random(3)
+    words = [f"w{i}" for i in range(3000)]
+    rows = [(i, ". ".join(" ".join(rng.sample(words, 8)) for _ in range(12)) + ".") for i in range(200)]
+    rows += [(200 + i, (" ".join(rng.sample(words, 9)) + ".\n") * 8) for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = {r.doc_id: r.posterior for r in repetition.repetitive(df).collect()}
+    assert set(kept) == set(range(200, 240)) and min(kept.values()) > 0.5
+    # what the posterior turns down isn't found, whatever its share is
+    assert repetition.repetitive(df, least=1.1).count() == 0
+    monkeypatch.setattr(repetition, "RULES", [(m, 2.0, no) for m, _, no in repetition.RULES])
+    assert repetition.repetitive(df).count() < 40
+
+
 def test_estimate_follows_the_majority():
     p = repetition.estimate({(1, 1, 1): 10, (0, 0, 0): 100, (1, -1, 1): 5, (-1, -1, -1): 7, (0, 0, 1): 6})
     assert p[1, 1, 1] > 0.9 and p[1, -1, 1] > 0.8 and p[0, 0, 0] < 0.1 and p[0, 0, 1] < 0.5

@@ -27,7 +27,7 @@ RECORDS = (
 def validate(spark: SparkSession, args: argparse.Namespace) -> int:
     """Validate JSON lines; the summary goes to standard output."""
     records = readers.read_numbered(spark, args.path, RECORDS)
-    summary = validation.validate(records, "_line_number" if args.file_order else "chunk_index", max_chars=args.max_chars, dim=args.embedding_dim).summary.first().asDict(recursive=True)
+    summary = validation.validate(records, "chunk_index" if args.index_order else "_line_number", max_chars=args.max_chars, dim=args.embedding_dim).summary.first().asDict(recursive=True)
     print(json.dumps(summary) if args.json else "\n".join(f"{k.replace('_', ' ')}: {v}" for k, v in summary.items()))
     return summary["exit_code"]
 
@@ -88,7 +88,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         if name == "validate":
             p.add_argument("--max-chars", type=int, default=1000)
             p.add_argument("--json", action="store_true")
-            p.add_argument("--file-order", action="store_true", help="order records by their lines instead of chunk_index")
+            p.add_argument("--index-order", action="store_true", help="take the records in the order of chunk_index, whatever their lines are")
         if name == "chunk":
             p.add_argument("--out", required=True)
             p.add_argument("--generated-at", default="")

@@ -11,6 +11,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators.keyed import join_bounded
+
 #: The fields a vector store loads; the schema is never inferred.
 INDEX_SCHEMA = "chunk_index int, text string, source_document string, page_number int, embedding array<float>"
 PAGE = "array<struct<page_number:int,width:double,height:double,blocks:array<struct<text:string,page_number:int,bbox:array<double>,block_type:string,font_size:double,is_bold:boolean>>>>"
@@ -58,13 +60,13 @@ def read_records(spark: SparkSession, path: str, schema: str | T.StructType, str
 def read_numbered(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """JSON lines with ``_line_number``, counted from 1 with blank lines, and ``_fields``, the keys that a record has.
 
-    Lines are numbered by their order in the files: each partition's lines are counted first, and
-    offsets added; the partitions of a text source are in file order.
+    Lines are numbered by their order in the files, and files by their names: the lines of each split of a
+    file are counted first, and what precedes a split, one number for each, is added.
     """
-    lines = spark.read.text(path).withColumn("_p", F.spark_partition_id()).withColumn("_i", F.monotonically_increasing_id())
-    counts = lines.groupBy("_p").agg(F.count("*").alias("_n"))
-    offsets = counts.select("_p", F.coalesce(F.sum("_n").over(W.orderBy("_p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    numbered = lines.join(F.broadcast(offsets), "_p").withColumn("_line_number", F.col("_before") + F.col("_i").bitwiseAND((1 << 33) - 1) + 1)
+    lines = spark.read.text(path).select("value", F.input_file_name().alias("_f"), F.input_file_block_start().alias("_b"), F.monotonically_increasing_id().alias("_i"))
+    counts = lines.groupBy("_f", "_b").agg(F.count("*").alias("_n"), F.min("_i").alias("_first"))
+    offsets = counts.select("_f", "_b", "_first", F.coalesce(F.sum("_n").over(W.orderBy("_f", "_b").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    numbered = join_bounded(lines, offsets, ["_f", "_b"], F.col("_i")).withColumn("_line_number", F.col("_before") + F.col("_i") - F.col("_first") + 1)
     full = numbered.filter(F.trim("value") != "")
     return full.select("_line_number", F.map_keys(F.from_json("value", "map<string,string>")).alias("_fields"), F.from_json("value", schema, {"mode": "FAILFAST"}).alias("r")).select("_line_number", "_fields", "r.*")
 

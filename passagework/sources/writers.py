@@ -8,7 +8,7 @@ import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -49,6 +49,28 @@ def hits_json(hits: DataFrame, by: str, rank: str = "rank") -> DataFrame:
     return hits.groupBy(by).agg(F.to_json(F.transform(F.array_sort(F.collect_list(item)), lambda x: x["h"])).alias("results"))
 
 
+def _nested(blocks: DataFrame, by: list[str], order: str, **extra: Column) -> DataFrame:
+    has = set(blocks.columns)
+    fields = [F.col(n) if n in has else F.lit(None).cast(k).alias(n) for n, k in (("text", "string"), ("page_number", "int"), ("bbox", "array<double>"), ("block_type", "string"), ("font_size", "double"), ("is_bold", "boolean"), ("metadata", "map<string,string>"))]
+    item = F.struct(F.col(order).alias("_at"), F.struct(*fields).alias("b"))
+    rows = blocks.groupBy(*by).agg(F.array_sort(F.collect_list(item), lambda x, y: F.when(x["_at"] < y["_at"], -1).when(x["_at"] > y["_at"], 1).otherwise(0)).alias("_items"), *[v.alias(k) for k, v in extra.items()])
+    return rows.withColumn("blocks", F.transform("_items", lambda x: x["b"])).drop("_items")
+
+
+def nested_pages(blocks: DataFrame, document: str = "doc", page: str = "page_number", order: str = "reading_order") -> DataFrame:
+    """``(document, page_number, width, height, text, blocks)``: the blocks of each page in order, and the page's text derived from them."""
+    rows = _nested(blocks, [document, page], order, width=F.max("width"), height=F.max("height"))
+    text = F.array_join(F.filter(F.transform("blocks", lambda b: F.coalesce(b["text"], F.lit(""))), lambda t: t != ""), "\n\n")
+    return rows.select(document, F.col(page).alias("page_number"), "width", "height", F.trim(text).alias("text"), "blocks")
+
+
+def nested_sections(blocks: DataFrame, document: str = "doc", order: str = "reading_order") -> DataFrame:
+    """``(document, section_id, title, level, page_numbers, blocks)`` of blocks that have a section_id and a section_title (:func:`.layout.sections`)."""
+    rows = _nested(blocks, [document, "section_id"], order, title=F.first("section_title"))
+    pages = F.array_sort(F.array_distinct(F.filter(F.transform("blocks", lambda b: b["page_number"]), lambda p: p.isNotNull() & (p != 0))))
+    return rows.select(document, "section_id", "title", F.lit(1).alias("level"), pages.alias("page_numbers"), "blocks")
+
+
 class Stages:
     """Wall times of a run's stages, and its statistics as one document."""
 

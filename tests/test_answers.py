@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -73,6 +74,15 @@ def test_embedding(spark):
     assert A.health(df) == "ok" and A.health(None) == A.health(df.limit(0)) == "degraded"
 
 
+def test_tokens_by_a_tokenizer_file(spark):
+    path = "/opt/tokenizers/byte_bpe_50k.json"
+    if not os.path.exists(path):
+        pytest.skip("no tokenizer file")
+    df = spark.createDataFrame([(0, "unbelievably long-winded"), (1, None)], "chunk_index int, text string")
+    got = {r.chunk_index: r.token_count for r in A.add_embeddings(df, make_counter=A.file_counter(path, 2)).collect()}
+    assert got[0] > 2 + 2 and got[1] == 2
+
+
 def test_json_lines(spark, tmp_path):
     path = tmp_path / "index.jsonl"
     good = {"chunk_index": 0, "text": "t", "source_document": "d", "page_number": 1, "embedding": [0.1, 0.2, 0.3], "extra": 1}

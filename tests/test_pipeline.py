@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from passagework import cli
 from passagework.functions import text as X
 from passagework.operators import layout
-from passagework.sources import readers
+from passagework.sources import readers, writers
 
 
 def test_pages_to_blocks(spark):
@@ -69,6 +69,29 @@ def test_command_line(spark, tmp_path, monkeypatch, capsys):
     assert (summary["input_records"], summary["dropped_records"]) == (2, 1)
 
 
+def test_validation_of_files_in_their_order(spark, tmp_path, capsys):
+    record = dict.fromkeys(("block_types", "chunk_id", "extraction_version", "page_end", "page_number", "page_numbers", "page_start", "section_title", "source_document", "source_fingerprint"))
+    for name, order in (("good", [0, 1, 2]), ("turned", [0, 2, 1])):
+        (tmp_path / name).write_text("\n\n".join(json.dumps({**record, "chunk_index": i, "chunk_id": str(i), "text": f"Text {i}."}) for i in order) + "\n")
+    assert cli.main(["validate", str(tmp_path / "good")], spark) == 0
+    assert cli.main(["validate", str(tmp_path / "turned")], spark) == 1 and "not contiguous" in capsys.readouterr().out
+    assert cli.main(["validate", str(tmp_path / "turned"), "--index-order"], spark) == 0
+    for i in (1, 0, 2):
+        (tmp_path / "many").mkdir(exist_ok=True)
+        (tmp_path / "many" / f"f{i}.jsonl").write_text("".join(f'{{"chunk_index": {i * 10 + k}}}\n' for k in range(3 + 40 * i)))
+    rows = readers.read_numbered(spark, str(tmp_path / "many"), "chunk_index int").orderBy("_line_number").collect()
+    assert [r._line_number for r in rows] == list(range(1, 130)) and [r.chunk_index for r in rows] == [i * 10 + k for i in range(3) for k in range(3 + 40 * i)]
+
+
+def test_nested_records(spark):
+    rows = [("d", 1, 1, "Fees", 0, "Fees", 100.0, 200.0), ("d", 1, 2, "Wire.", 0, "Fees", 100.0, 200.0), ("d", 2, 3, "", 0, "Fees", 90.0, 80.0), ("d", 2, 4, "More.", 1, None, 90.0, 80.0)]
+    blocks = spark.createDataFrame(rows, "doc string, page_number int, reading_order int, text string, section_id int, section_title string, width double, height double")
+    pages = writers.nested_pages(blocks).orderBy("page_number").collect()
+    assert [(p.page_number, p.width, p.text, [b.text for b in p.blocks]) for p in pages] == [(1, 100.0, "Fees\n\nWire.", ["Fees", "Wire."]), (2, 90.0, "More.", ["", "More."])]
+    sections = writers.nested_sections(blocks).orderBy("section_id").collect()
+    assert [(s.title, s.level, s.page_numbers, len(s.blocks)) for s in sections] == [("Fees", 1, [1, 2], 3), (None, 1, [2], 1)]
+
+
 def test_chunk_command(spark, tmp_path):
     source = tmp_path / "documents.jsonl"
     source.write_text("\n".join(json.dumps({"source_document": d, "source_fingerprint": "f", "blocks": [{"text": "Some text here.", "page_number": 1, "block_type": "paragraph"}]}) for d in ("b", "a")))

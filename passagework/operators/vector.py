@@ -11,13 +11,12 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import materialize
 from .keyed import join_bounded
 from .ordered import positions
 
-#: Queries that fit in one task beside a block of the index; more are searched in blocks.
+#: Queries that go to all tasks at once.
 QUERIES_AT_ONCE = 4096
-#: Rows of the index in a block.
-ROWS_IN_BLOCK = 50_000
 #: Scores that agree to so many decimals are ties, and the smaller key comes first.
 TIE_DECIMALS = 9
 
@@ -107,11 +106,11 @@ def search(queries: DataFrame, index: DataFrame, k: int = 5, dim: int = 384, que
            key: str = "chunk_index", embedding: str = "embedding") -> DataFrame:
     """``(query_id, rank, key, score)``: the ``k`` best rows of the index for every query.
 
-    Scores are computed in double precision by matrix products in Arrow batches. Up to
-    ``QUERIES_AT_ONCE`` queries, which are counted, go to all tasks that scan the index, so that
-    only each batch's best rows are shuffled. More queries and the index are cut into blocks, and each
-    pair of blocks is searched on its own. Either way the best rows are merged by a
-    window that keeps ``k`` for each query. Ties go to the smaller key; queries of another size
+    Scores are computed in double precision by matrix products in Arrow batches. Queries, which are
+    counted, go in groups of about ``QUERIES_AT_ONCE`` to the tasks that scan the index, so that only
+    each batch's best rows are shuffled, never the index. A group more is a scan more: for a large
+    share of the index as queries an approximate index is the better way. The best rows are merged
+    by a window that keeps ``k`` for each query. Ties go to the smaller key; queries of another size
     have no rows; an all-zero vector scores 0; ``k`` of 0 or less gives no rows.
     """
     spark = index.sparkSession
@@ -120,12 +119,11 @@ def search(queries: DataFrame, index: DataFrame, k: int = 5, dim: int = 384, que
     rows = valid(index, dim, key, embedding).select(F.col(key).cast("long").alias("row_id"), F.col(embedding).alias("v"))
     if k <= 0:
         return spark.createDataFrame([], f"{query_id} long, rank int, {key} long, score double")
-    n = asked.count()
-    if n <= QUERIES_AT_ONCE:
-        table = asked.toArrow()
-        # a row group of queries is at most QUERIES_AT_ONCE vectors
-        ids = np.asarray(table.column("query_id").combine_chunks(), np.int64) if n else np.zeros(0, np.int64)
-        vectors = _unit(_matrix(table.column("q").combine_chunks(), dim)) if n else np.zeros((0, dim))
+
+    def best_of(group: DataFrame) -> DataFrame:
+        table = group.toArrow()
+        ids = np.asarray(table.column("query_id").combine_chunks(), np.int64) if table.num_rows else np.zeros(0, np.int64)
+        vectors = _unit(_matrix(table.column("q").combine_chunks(), dim)) if table.num_rows else np.zeros((0, dim))
         shared = spark.sparkContext.broadcast((ids, vectors))
 
         def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -134,20 +132,18 @@ def search(queries: DataFrame, index: DataFrame, k: int = 5, dim: int = 384, que
                 if batch.num_rows and len(ids):
                     yield _best(vectors, ids, _unit(_matrix(batch.column("v"), dim)), np.asarray(batch.column("row_id")), k)
 
-        partial = rows.mapInArrow(scan, schema)
+        return rows.mapInArrow(scan, schema)
+
+    n = asked.count()
+    if n <= QUERIES_AT_ONCE:
+        partial = best_of(asked)
     else:
-        query_blocks, row_blocks = -(-n // QUERIES_AT_ONCE), -(-rows.count() // ROWS_IN_BLOCK)
-        left = asked.withColumn("qb", F.pmod(F.xxhash64("query_id"), F.lit(query_blocks)).cast("int")).withColumn("rb", F.explode(F.sequence(F.lit(0), F.lit(row_blocks - 1))))
-        right = rows.withColumn("rb", F.pmod(F.xxhash64("row_id"), F.lit(row_blocks)).cast("int")).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))))
-
-        def pair(a: pa.Table, b: pa.Table) -> pa.Table:
-            if not a.num_rows or not b.num_rows:
-                return pa.schema([("query_id", pa.int64()), ("row_id", pa.int64()), ("score", pa.float64())]).empty_table()
-            q, v = (_unit(_matrix(t.column(c).combine_chunks(), dim)) for t, c in ((a, "q"), (b, "v")))
-            best = _best(q, np.asarray(a.column("query_id").combine_chunks()), v, np.asarray(b.column("row_id").combine_chunks()), k)
-            return pa.Table.from_batches([best])
-
-        partial = left.groupBy("qb", "rb").cogroup(right.groupBy("qb", "rb")).applyInArrow(pair, schema)
+        groups = -(-n // QUERIES_AT_ONCE)
+        parted = materialize(asked.withColumn("_group", F.pmod(F.xxhash64("query_id"), F.lit(groups)).cast("int")), "queries")
+        found = [materialize(best_of(parted.filter(F.col("_group") == g).drop("_group")), "best") for g in range(groups)]
+        partial = found[0]
+        for more in found[1:]:
+            partial = partial.unionByName(more)
     order = W.partitionBy("query_id").orderBy(F.round("score", TIE_DECIMALS).desc(), "row_id")
     ranked = partial.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
     return ranked.select(F.col("query_id").alias(query_id), "rank", F.col("row_id").alias(key), "score")

@@ -13,7 +13,7 @@ from ..operators import layout as L
 from ..operators.keyed import once_per_key
 from ..session import table
 from .layout import _LINES, lines
-from .text import _SENTENCES
+from .text import _SENTENCES, full_lines_sql
 
 
 def documents(spark: SparkSession, d: str) -> DataFrame:
@@ -70,5 +70,22 @@ SQL: dict[str, str] = {
               UNION ALL SELECT o.doc_id, o.i, o.n, CASE WHEN f.size + 2 + o.n <= 900 AND f.size < 700 THEN f.g ELSE f.g + 1 END, CASE WHEN f.size + 2 + o.n <= 900 AND f.size < 700 THEN f.size + 2 + o.n ELSE o.n END
               FROM f JOIN o ON o.doc_id = f.doc_id AND o.i = f.i + 1)
         SELECT doc_id, CAST(g AS INTEGER) AS group_no, count(*) AS units, CAST(sum(n) AS BIGINT) AS chars FROM f GROUP BY 1, 2""",
+    # after cleaning words and single separators alternate, so tokens of odd places are words; a step goes from a window to the next
+    "chk_windows": f"""WITH RECURSIVE c AS (SELECT doc_id, array_to_string({full_lines_sql("replace(coalesce(text, ''), chr(7), ' ')")}, chr(10)) AS t FROM documents),
+        k AS (SELECT doc_id, regexp_extract_all(t, '[ \\n]|[^ \\n]+') AS tokens FROM c WHERE t <> ''),
+        u AS (SELECT doc_id, unnest(tokens) AS x, generate_subscripts(tokens, 1) AS i FROM k),
+        m AS (SELECT doc_id, i, sum(length(x)) OVER (PARTITION BY doc_id ORDER BY i) AS upto FROM u),
+        d AS MATERIALIZED (SELECT doc_id, list(upto ORDER BY i) AS upto FROM m GROUP BY 1),
+        w AS (SELECT doc_id, 1 AS n, 1 AS first, greatest(2, len(list_filter(upto, lambda x: x <= 1000)) + 1) AS stop FROM d
+            UNION ALL
+            SELECT doc_id, n, first, greatest(first + 1, len(list_filter(upto, lambda x: x <= before + 1000)) + 1) FROM
+                (SELECT doc_id, n, first, upto, CASE WHEN first > 1 THEN upto[first - 1] ELSE 0 END AS before FROM
+                    (SELECT doc_id, n, upto, back + CASE WHEN back % 2 = 0 THEN 1 ELSE 0 END AS first FROM
+                        (SELECT w.doc_id, w.n + 1 AS n, d.upto, CASE WHEN b < w.stop THEN b ELSE w.stop END AS back
+                         FROM w JOIN d ON d.doc_id = w.doc_id, LATERAL (SELECT greatest(w.first + 1, CASE WHEN d.upto[w.stop - 1] <= 100 THEN 1 ELSE len(list_filter(d.upto, lambda x: x < d.upto[w.stop - 1] - 100)) + 2 END) AS b)
+                         WHERE w.stop <= len(d.upto))))),
+        p AS (SELECT w.doc_id, n, rtrim(array_to_string(k.tokens[first : stop - 1], ''), ' ' || chr(10)) AS text FROM w JOIN k ON k.doc_id = w.doc_id),
+        s AS (SELECT doc_id, n, unnest(range(0, length(text), 1000)) AS cut, text FROM p)
+        SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY n, cut) - 1 AS INTEGER) AS chunk_index, CAST(length(substr(text, cut + 1, 1000)) AS INTEGER) AS chars, md5(substr(text, cut + 1, 1000)) AS digest FROM s""",
     "chk_sentence_overlap": f"WITH s AS (SELECT doc_id, {_SENTENCES}[-1] AS tail FROM documents) SELECT doc_id, tail FROM s WHERE length(tail) <= 160",
 }

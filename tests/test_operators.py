@@ -29,14 +29,13 @@ def test_invalid_searches_give_nothing(spark, query, k, dim):
     assert vector.search_one(index, query, k, dim).count() == 0
 
 
-def test_search_in_blocks_equals_broadcast(spark, monkeypatch):
+def test_search_in_groups_equals_one_scan(spark, monkeypatch):
     rng = np.random.default_rng(0)
     x = rng.integers(-2, 3, (300, 4)).astype(float).tolist()
     index = spark.createDataFrame(list(enumerate(x)), HIT)
     queries = index.filter("chunk_index % 10 = 0").withColumnRenamed("chunk_index", "query_id")
     whole = sorted(map(tuple, vector.search(queries, index, 7, 4).select("query_id", "rank", "chunk_index").collect()))
     monkeypatch.setattr(vector, "QUERIES_AT_ONCE", 8)
-    monkeypatch.setattr(vector, "ROWS_IN_BLOCK", 70)
     assert sorted(map(tuple, vector.search(queries, index, 7, 4).select("query_id", "rank", "chunk_index").collect())) == whole
     assert len(whole) == 30 * 7
     empty = index.limit(0)

@@ -458,12 +458,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p3_found": found,
     "p3_groups": lambda spark, d: groups(table(spark, d, "chunks")),
 }
+_LINKED = r"""WITH RECURSIVE w AS (SELECT DISTINCT ON (chunk_index) chunk_index AS id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS ws FROM chunks WHERE chunk_index IS NOT NULL AND text IS NOT NULL),
+    s AS MATERIALIZED (SELECT id, list_distinct(list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2])) AS sh FROM w WHERE len(ws) >= 20),
+    u AS MATERIALIZED (SELECT id, unnest(sh) AS x FROM s),
+    o AS (SELECT a.id AS a, b.id AS b, count(*) AS n FROM u a JOIN u b ON a.x = b.x AND a.id < b.id GROUP BY 1, 2),
+    l AS MATERIALIZED (SELECT a, b FROM o JOIN s p ON p.id = a JOIN s q ON q.id = b WHERE n >= 0.6 * (len(p.sh) + len(q.sh) - n)),
+    e AS (SELECT a, b FROM l UNION SELECT b, a FROM l), r AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON e.a = r.b)"""
 SQL: dict[str, str] = {
-    "p3_found": r"""WITH RECURSIVE w AS (SELECT DISTINCT ON (chunk_index) chunk_index AS id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS ws FROM chunks WHERE chunk_index IS NOT NULL AND text IS NOT NULL),
-        s AS MATERIALIZED (SELECT id, list_distinct(list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2])) AS sh FROM w WHERE len(ws) >= 20),
-        u AS MATERIALIZED (SELECT id, unnest(sh) AS x FROM s),
-        o AS (SELECT a.id AS a, b.id AS b, count(*) AS n FROM u a JOIN u b ON a.x = b.x AND a.id < b.id GROUP BY 1, 2),
-        l AS MATERIALIZED (SELECT a, b FROM o JOIN s p ON p.id = a JOIN s q ON q.id = b WHERE n >= 0.6 * (len(p.sh) + len(q.sh) - n)),
-        e AS (SELECT a, b FROM l UNION SELECT b, a FROM l), r AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON e.a = r.b)
-        SELECT CAST(a AS BIGINT) AS chunk_index_a, CAST(b AS BIGINT) AS chunk_index_b FROM r WHERE a < b""",
+    "p3_found": f"{_LINKED} SELECT CAST(a AS BIGINT) AS chunk_index_a, CAST(b AS BIGINT) AS chunk_index_b FROM r WHERE a < b",
+    "p3_groups": f'{_LINKED} SELECT CAST(a AS BIGINT) AS chunk_index, CAST(least(a, min(b)) AS BIGINT) AS "group" FROM r GROUP BY a',
 }

@@ -87,7 +87,9 @@ def dequantize(packed: np.ndarray) -> np.ndarray:
 def near_in_leaf(sketches: np.ndarray, radius2: float, k: int, confidence: float = CONFIDENCE, block: int = 512) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Pairs ``i < j`` of a leaf's points that the stopping test doesn't exclude.
 
-    Neighbours of a point come in the order of projected distance. The search stops where the
+    Neighbours of a point are meant in the order of projected distance, for all points of a block at
+    once: taking them one by one until the test stops gives what lies below the distance at which it
+    stops, so one product of matrices stands for that many searches. The search stops where the
     test holds that a farther one is within ``radius2`` with a probability below 1 - confidence;
     if ``4 k`` neighbours came before, also where none farther is likely to be nearer than the
     k-th, since a projected distance is off by no more than the spread of the chi-square. Both

@@ -20,8 +20,8 @@ from .lines import normal_form
 NEAR_BLOCKS = 3
 #: Characters of sorted units in a partition on average, and characters that a map task packs at once.
 PART_CHARS, PACKED_AT_ONCE = 32 << 20, 16 << 20
-#: Units, at most, and characters of each, on which the ranges of the partitions are fitted; every unit is in the join.
-FIT_ON, FIT_CHARS = 20_000, 96
+#: Units for each partition, and in all at most, on whose first characters the ranges of the partitions are fitted; every unit is in the join.
+FIT_EACH, FIT_ON, FIT_CHARS = 64, 200_000, 96
 #: Distinct records of a source in which a last line must stand to be a page line.
 PAGE_LINE_RECORDS = 4
 #: Words after which no line, title or item ends, in four languages.
@@ -201,10 +201,10 @@ def _sorted_copies(texts: DataFrame, tails: DataFrame, chars: int) -> DataFrame:
             units = [u[:FIT_CHARS] for t in batch.column("text").to_pylist() for u in units_of(t)]
             yield pa.RecordBatch.from_arrays([pa.array(units, pa.string())], ["unit"])
 
-    every = max(1, chars // (FIT_ON * FIT_CHARS))
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-chars // PART_CHARS))
+    every = max(1, chars // (min(FIT_ON, FIT_EACH * parts) * FIT_CHARS))
     some = texts.filter(F.pmod(F.xxhash64("chunk_index"), F.lit(every)) == 0).select("text")
     values = sorted(set(some.mapInArrow(sampled, "unit string").limit(FIT_ON).toArrow().column("unit").to_pylist()))
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-chars // PART_CHARS))
     bounds = sorted({values[i * len(values) // parts] for i in range(1, parts)}) if values else []
     parts = len(bounds) + 1
 

@@ -17,8 +17,8 @@ from .words import numbered, runs, words_of
 
 #: Words of a shingle, words a text needs, and the similarity from which two texts are linked.
 SHINGLE, LEAST_WORDS, LEAST_SIMILARITY = 3, 20, 0.6
-#: Bands and values in a band. A pair of similarity s shares a band with probability 1 - (1 - s^5)^50: 0.98 at 0.6, 0.999 at 0.67.
-BANDS, ROWS = 50, 5
+#: Bands and values in a band. A pair of similarity s misses all bands with probability (1 - s^5)^80: 0.0015 at 0.6, 0.00001 at 0.67.
+BANDS, ROWS = 80, 5
 #: Members up to which all pairs of a bucket are candidates, and further values by which larger buckets are divided.
 SMALL_BUCKET, REFINEMENTS = 48, 12
 #: Members of a block, and rows of a partition, where a divided part is compared block against block.

@@ -301,10 +301,10 @@ def find(chunks: DataFrame, snippets: DataFrame) -> DataFrame:
     paged = materialize(paged, "paged")
     tails = paged.filter((F.col("tail") != "") & (F.col("_page").isNull() | (F.col("state") == "marked"))).select("tail").distinct()
     chars = examined.filter("state is null and word is null").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    copies = _sorted_copies(texts, tails, chars)
+    copies = materialize(_sorted_copies(texts, tails, chars), "copies")
     known = examined.filter(F.col("state").isNull()).groupBy("word").agg(F.sum("n").alias("seen")).filter("seen >= 2")
     last = paged.filter("state in ('open', 'item')").select(F.lower("word").alias("_word")).distinct()
-    known = known.join(last, known["word"] == last["_word"], "left_semi").select(F.col("word").alias("_word"), F.lit(True).alias("_known"))
+    known = materialize(known.join(last, known["word"] == last["_word"], "left_semi").select(F.col("word").alias("_word"), F.lit(True).alias("_known")), "known")
 
     judged = join_bounded(paged.withColumn("_word", F.lower("word")), copies, ["tail"], F.col("record_id"), "left")
     judged = join_bounded(judged, known, ["_word"], F.col("record_id"), "left")

@@ -38,7 +38,8 @@ _ENDED = re.compile(r"[.!?][\"”’'»)\]]*$|[\"”»]$|[.!?]\s*[—–-]$")
 _SENTENCE = re.compile(r"[.!?][\"”’'»)\]]*\s+")
 _UNIT = re.compile(r"\n|(?<=[.!?])[\"”’'»)\]]*[ \t]+")
 _SIGNS = str.maketrans(dict.fromkeys('.,;:!?()[]"“”«»|·—–', " "))
-_LETTERS = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*$")
+#: The last word, if it is one by itself and no part of a sign such as "n/a".
+_LETTERS = re.compile(r"""(?<![^\s,;:|(\["'“‘«¿¡•])[^\W\d_]+(?:['’-][^\W\d_]+)*$""")
 
 
 def examine(text: str | None) -> tuple[str, str, str, str]:

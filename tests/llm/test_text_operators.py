@@ -88,6 +88,29 @@ def test_ends():
     assert {t: truncation.examine(t)[0] for t in cases} == cases
 
 
+def test_last_words():
+    cases = {"| wire | $3 | n/a |\n| check | $4 | n/a": "", "Fee,Cost\nwire,$4,varies": "varies", "a\tb\tc\nwire\t1\tn/a": "", "The owner’s half-": "", "The joint owner’s": "owner’s", "• power-of-attorney": "power-of-attorney", "He said “no": "no", "The fee is 3a": ""}
+    assert {t: truncation.examine(t)[3] for t in cases} == cases
+    # a verb after a determiner is a noun
+    assert [truncation.unfinished(t, t.split()[-1]) for t in ("what is named in the will", "the owner will", "a copy of the", "the form")] == [False, True, True, False]
+    assert truncation.examine("The party named in the will")[0] == "open" and truncation.examine("The party named here will")[0] == "running"
+
+
+def test_sorted_prefix_join_equals_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(truncation, "PART_CHARS", 400)
+    rng = random.Random(11)
+    parts = ["the fee", "the fees", "a 12", "a 123", "a 12 x", "zeta", "Été", "the", "12"]
+    texts = ["\n".join(" ".join(rng.choices(parts, k=rng.randrange(1, 4))) + rng.choice(["", "", ".", " "]) for _ in range(rng.randrange(1, 5))) for _ in range(200)] + ["same line"] * 60
+    df = spark.createDataFrame(list(enumerate(texts)), "chunk_index int, text string").repartition(3)
+    tails = sorted({u[:n] for t in texts[:60] for u in truncation.units_of(t) for n in (1, 3, 7, len(u)) if u[:n]} | {"nowhere", "same"})
+    got = {r.tail: (min(r.longer, 1), r.equal, min(r.inside, 1)) for r in truncation._sorted_copies(df, spark.createDataFrame([(t,) for t in tails], "tail string"), sum(map(len, texts))).collect()}
+    units = [u for t in texts for u in truncation.units_of(t)]
+    for tail in tails:
+        rests = [u[len(tail):] for u in units if u.startswith(tail)]
+        want = int(any(re.search(r"[^\d\s]", r) for r in rests)), sum(not r.strip() for r in rests), int(any(r[:1].isalpha() for r in rests))
+        assert got[tail] == want, tail
+
+
 def test_corpus_decides_open_ends(spark):
     page = "Office of Anymore records"
     rows = [(i, f"The bank may sign form {i}.\n{page}", "d") for i in range(6)]

@@ -114,18 +114,22 @@ def near_in_leaf(sketches: np.ndarray, radius2: float, k: int, confidence: float
 
 
 def nearest_in_leaf(x: np.ndarray, k: int, block: int = 256) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """``(i, j, cosine)``: each of a leaf's unit vectors with its ``k`` nearest, whatever their cosine; ties go to the smaller ``j``."""
+    """``(i, j, cosine)``: each of a leaf's vectors with its ``k`` nearest, whatever their cosine; ties go to the smaller ``j``."""
+    wide = x.astype(np.float64)
+    norm = np.sqrt(np.einsum("ij,ij->i", wide, wide))
+    del wide
+    inverse = (1 / norm).astype(np.float32)
     for start in range(0, len(x), block):
         part = x[start : start + block]
         own = np.arange(start, start + len(part))
-        rough = part @ x.T
+        rough = (part @ x.T) * inverse
         rough[np.arange(len(part)), own] = -np.inf
         # a few more than k, since single precision orders them only roughly
         most = min(k + 6, len(x) - 1)
         if most < 1:
             return
         j = np.sort(np.argpartition(-rough, most - 1, axis=1)[:, :most], 1)
-        cosine = np.einsum("id,ijd->ij", part.astype(np.float64), x[j].astype(np.float64))
+        cosine = np.einsum("id,ijd->ij", part.astype(np.float64), x[j].astype(np.float64)) / (norm[own][:, None] * norm[j])
         best = np.argsort(-cosine, axis=1, kind="stable")[:, :k]
         yield np.repeat(own, best.shape[1]), np.take_along_axis(j, best, 1).ravel(), np.take_along_axis(cosine, best, 1).ravel()
 
@@ -239,7 +243,7 @@ def neighbours(vectors: DataFrame, k: int = 10, min_cosine: float | None = 0.75,
                 yield pa.RecordBatch.from_arrays([pa.array((t << 40) + leaves, pa.int64()), batch.column("id"), batch.column("v")], ["leaf", "id", "v"])
 
     def search_whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = [(np.asarray(b.column("leaf")), np.asarray(b.column("id")), unit64(b)) for b in batches if b.num_rows]
+        parts = [(np.asarray(b.column("leaf")), np.asarray(b.column("id")), _matrix(b.column("v"), dim)) for b in batches if b.num_rows]
         if not parts:
             return
         leaves, ids, x = (np.concatenate([p[c] for p in parts]) for c in range(3))
@@ -249,10 +253,6 @@ def neighbours(vectors: DataFrame, k: int = 10, min_cosine: float | None = 0.75,
             for i, j, cosine in nearest_in_leaf(x[group], k):
                 yield pa.RecordBatch.from_arrays([pa.array(ids[group[i]]), pa.array(ids[group[j]]), pa.array(cosine)], ["a", "b", "c"])
 
-    def unit64(batch: pa.RecordBatch) -> np.ndarray:
-        x = _matrix(batch.column("v"), dim).astype(np.float64)
-        return (x / np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]).astype(np.float32)
-
     def within_bound() -> DataFrame:
         """Links both ways of at least ``min_cosine``."""
         parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n * trees // ROWS_AT_ONCE))
@@ -304,14 +304,20 @@ def found(spark: SparkSession, d: str) -> DataFrame:
     return near.select(F.least("chunk_index", "neighbour").alias("chunk_index_a"), F.greatest("chunk_index", "neighbour").alias("chunk_index_b")).distinct()
 
 
+def all_neighbours(spark: SparkSession, d: str) -> DataFrame:
+    """p2_neighbours: the 10 most similar of every usable vector, whatever their cosine, rounded to 6 decimals."""
+    return neighbours(table(spark, d, "document_chunks"), min_cosine=None).withColumn("cosine", F.round("cosine", 6))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p2_found": found,
-    "p2_neighbours": lambda spark, d: neighbours(table(spark, d, "document_chunks"), min_cosine=None),
+    "p2_neighbours": all_neighbours,
 }
+_NEAR = """WITH idx AS MATERIALIZED (SELECT DISTINCT ON (chunk_index) chunk_index, CAST(embedding AS DOUBLE[]) AS v FROM document_chunks
+        WHERE chunk_index IS NOT NULL AND len(embedding) = 384 AND (list_max(embedding) <> 0 OR list_min(embedding) <> 0)),
+    near AS (SELECT a.chunk_index AS a, b.chunk_index AS b, list_cosine_similarity(a.v, b.v) AS c FROM idx a, idx b WHERE a.chunk_index <> b.chunk_index)"""
 SQL: dict[str, str] = {
-    "p2_found": """WITH idx AS MATERIALIZED (SELECT DISTINCT ON (chunk_index) chunk_index, CAST(embedding AS DOUBLE[]) AS v FROM document_chunks
-            WHERE chunk_index IS NOT NULL AND len(embedding) = 384 AND (list_max(embedding) <> 0 OR list_min(embedding) <> 0)),
-        near AS (SELECT a.chunk_index AS a, b.chunk_index AS b, list_cosine_similarity(a.v, b.v) AS c FROM idx a, idx b WHERE a.chunk_index <> b.chunk_index),
-        best AS (SELECT * FROM near WHERE c >= 0.75 QUALIFY row_number() OVER (PARTITION BY a ORDER BY c DESC, b) <= 10)
+    "p2_found": f"""{_NEAR}, best AS (SELECT * FROM near WHERE c >= 0.75 QUALIFY row_number() OVER (PARTITION BY a ORDER BY c DESC, b) <= 10)
         SELECT DISTINCT CAST(least(a, b) AS BIGINT) AS chunk_index_a, CAST(greatest(a, b) AS BIGINT) AS chunk_index_b FROM best""",
+    "p2_neighbours": f"""{_NEAR} SELECT CAST(a AS BIGINT) AS chunk_index, CAST(b AS BIGINT) AS neighbour, round(c, 6) AS cosine FROM near QUALIFY row_number() OVER (PARTITION BY a ORDER BY c DESC, b) <= 10""",
 }

@@ -181,7 +181,8 @@ def neighbours(vectors: DataFrame, k: int = 10, min_cosine: float | None = 0.75,
     single = semi_or_anti(rows.select("id", "v"), copies, ["id"], "left_anti") if n_groups else rows.select("id", "v")
 
     n = single.count()
-    depth = max(0, int(np.ceil(np.log2(max(1, n) / leaf))))
+    # one split at least, so that small tables take the same way as large ones
+    depth = max(1, int(np.ceil(np.log2(max(1, n) / leaf))))
     sketch, coordinates = projections(dim, trees)
 
     def unit(batch: pa.RecordBatch) -> np.ndarray:
@@ -195,26 +196,26 @@ def neighbours(vectors: DataFrame, k: int = 10, min_cosine: float | None = 0.75,
             points = np.round(unit(batch) @ coordinates * 4096).astype(np.int16)
             yield pa.RecordBatch.from_arrays([pa.array([p.tobytes() for p in points], pa.binary())], ["p"])
 
-    fitted = []
-    if depth:
+    if n:
         sample = single.filter(F.pmod(F.xxhash64("id", F.lit(_SEED)), F.lit(every)) == 0).select("v").mapInArrow(project, "p binary").toArrow()
         points = np.frombuffer(b"".join(sample.column("p").to_pylist()), np.int16).reshape(-1, trees, COORDINATES).astype(np.float32) / 4096
-        fitted = [fit_tree(points[:, t], depth) for t in range(trees)]
+    else:
+        points = np.zeros((0, trees, COORDINATES), np.float32)
+    fitted = [fit_tree(points[:, t], depth) for t in range(trees)]
     shared = spark.sparkContext.broadcast((sketch, coordinates, fitted))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch, coordinates, fitted = shared.value
-        used = len(fitted) or 1
         for batch in batches:
             if not batch.num_rows:
                 continue
             x = unit(batch)
             packed = quantize(x @ sketch)
             points = (x @ coordinates).reshape(len(x), trees, COORDINATES)
-            leaves = np.stack([leaf_of(points[:, t], fitted[t], depth) if fitted else np.zeros(len(x), np.int64) for t in range(used)], 1)
-            keys = (np.arange(used) << 40) + leaves
-            ids = np.repeat(np.asarray(batch.column("id")), used)
-            blob = np.repeat(packed, used, axis=0)
+            leaves = np.stack([leaf_of(points[:, t], fitted[t], depth) for t in range(trees)], 1)
+            keys = (np.arange(trees) << 40) + leaves
+            ids = np.repeat(np.asarray(batch.column("id")), trees)
+            blob = np.repeat(packed, trees, axis=0)
             data = pa.py_buffer(np.ascontiguousarray(blob).tobytes())
             fixed = pa.Array.from_buffers(pa.binary(), len(blob), [None, pa.py_buffer((np.arange(len(blob) + 1) * blob.shape[1]).astype(np.int32).tobytes()), data])
             yield pa.RecordBatch.from_arrays([pa.array(keys.ravel(), pa.int64()), pa.array(ids, pa.int64()), fixed], ["leaf", "id", "s"])
@@ -238,8 +239,8 @@ def neighbours(vectors: DataFrame, k: int = 10, min_cosine: float | None = 0.75,
             if not batch.num_rows:
                 continue
             points = (unit(batch) @ coordinates).reshape(batch.num_rows, trees, COORDINATES)
-            for t in range(len(fitted) or 1):
-                leaves = leaf_of(points[:, t], fitted[t], depth) if fitted else np.zeros(len(points), np.int64)
+            for t in range(trees):
+                leaves = leaf_of(points[:, t], fitted[t], depth)
                 yield pa.RecordBatch.from_arrays([pa.array((t << 40) + leaves, pa.int64()), batch.column("id"), batch.column("v")], ["leaf", "id", "v"])
 
     def search_whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

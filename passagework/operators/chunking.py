@@ -171,11 +171,13 @@ def semantic_units(documents: DataFrame) -> DataFrame:
     rows = L.body_font_over(_blocks(documents), [*_KEY, "page_number"], "at", F.when(c("block_type") == "paragraph", font))
     titled = c("block_type") == "heading"
     rows = rows.withColumn("_ranks", F.sort_array(F.collect_set(F.when(titled, F.bround("font_size", 1))).over(of), asc=False))
-    heads = titled & L.structural_heading(c("text"), c("font_size"), c("body_font"))
+    # a column of its own, and under a condition, so that only headings are looked at, and once
+    rows = rows.withColumn("_heads", F.when(titled, L.structural_heading(c("text"), c("font_size"), c("body_font"))).otherwise(F.lit(False)))
+    heads = c("_heads")
     rows = rows.withColumn("_level", F.when(heads, L.heading_level(c("text"), c("font_size"), c("_ranks"), c("is_bold")))).withColumn("_title", F.when(heads, X.normalize_semantic_text(c("text"))))
     rows = L.heading_paths(rows, _KEY, "at", "_level", "_title").filter(c("_level").isNull())
     kind = F.when(titled, "paragraph").otherwise(c("block_type"))
-    rows = rows.withColumn("kind", F.when((kind == "paragraph") & X.looks_tabular(c("text")), "table").otherwise(kind))
+    rows = rows.withColumn("kind", F.when(F.when(kind == "paragraph", X.looks_tabular(c("text"))).otherwise(F.lit(False)), "table").otherwise(kind))
     lined = c("kind").isin("list", "table")
     rows = rows.withColumn("text", F.when(lined, X.normalize_semantic_text(c("text"), True)).otherwise(X.normalize_semantic_text(c("text")))).filter("text <> ''")
     rows = L.islands(rows.withColumn("_paragraph", c("kind") == "paragraph"), _KEY, "at", same=("path",), only="_paragraph")

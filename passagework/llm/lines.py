@@ -4,25 +4,32 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator
+from itertools import count, islice
 
+import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.keyed import join_bounded, once_per_key
+from ..operators.keyed import join_bounded, once_per_key, semi_or_anti
 from ..session import materialize, table
 
 #: Tokens at which a template tree branches, after the number of tokens; a leaf holds what agrees in them.
 DEPTH = 3
-#: Share of equal tokens from which two templates of a leaf are one; at 1 only digits are variable.
+#: Share of equal tokens from which lines of a leaf are the same line; at 1 only digits may differ, and equal forms are counted.
 SIMILARITY = 1.0
+#: Share of equal tokens from which a line joins a template of its leaf, where lines are the same at a similarity of 1.
+LEARNING = 0.7
 #: A line is excessive in at least this many documents of its source ...
 LEAST_DOCUMENTS = 10
 #: ... and in at least this share of them.
 LEAST_SHARE = 0.02
-#: Templates a worker's trees hold before it starts afresh; merging joins what that parts.
-MOST_TEMPLATES = 500_000
+#: Forms a worker remembers before its trees start afresh; merging joins what that parts.
+MOST_FORMS = 500_000
+#: Templates of a leaf up to which they are compared one by one, beyond that as an array; rows of a batch of templates.
+FEW, BATCH = 8, 20_000
 #: A slot for a run of digits, and one for any token.
 NUMBER, ANY = "0", "*"
 _DIGITS, _SIGNS = re.compile(r"\d+"), re.compile(r"(?:[^\w\n]|_)+")
@@ -38,19 +45,74 @@ def forms_of(text: str) -> list[str]:
     return [line.strip() for line in _SIGNS.sub(" ", _DIGITS.sub(NUMBER, text.lower())).split("\n")]
 
 
-class Template:
-    """A template of a leaf: its slots, and the number that every process gives to these slots."""
-
-    __slots__ = ("slots", "number")
+def _number(*parts: str) -> int:
+    """A 64-bit number for some strings, the same in every process."""
+    return xxhash.xxh3_64_intdigest("\0".join(parts).encode("utf-8", "surrogatepass")) - (1 << 63)
 
-    def __init__(self, slots: list[str]) -> None:
-        self.slots = slots
-        self.number = 0
 
-    def settle(self) -> int:
-        """The number of the slots as they now are."""
-        self.number = xxhash.xxh3_64_intdigest(" ".join(self.slots).encode("utf-8", "surrogatepass")) - (1 << 63)
-        return self.number
+class Template:
+    """A template of a leaf: its slots, its number, the lines that joined it, and what it was merged into."""
+
+    __slots__ = ("slots", "number", "lines", "into")
+
+    def __init__(self, slots: list[str], number: int) -> None:
+        self.slots, self.number, self.lines = slots, number, 0
+        self.into: Template | None = None
+
+    def last(self) -> Template:
+        """The template that this one is part of."""
+        template = self
+        while template.into is not None:
+            template = template.into
+        return template
+
+
+def _coded(tokens: list[str]) -> list[int]:
+    """A number for each token beyond those on the way to the leaf, below 0 for a wildcard; other tokens may have the same."""
+    return [-1 if x == ANY else hash(x) & 0x7FFFFFFF for x in tokens[DEPTH:]]
+
+
+class Leaf:
+    """The templates of a leaf; where there are more than ``FEW``, the numbers of their slots are compared slot by slot, all templates at once."""
+
+    __slots__ = ("templates", "_grid", "_known")
+
+    def __init__(self) -> None:
+        self.templates: list[Template] = []
+        self._grid, self._known = None, 0
+
+    def agreement(self, tokens: list[str]) -> np.ndarray:
+        """For each template, the number of slots that agree with the tokens; a wildcard on either side agrees."""
+        n = len(self.templates)
+        if n <= FEW:
+            return np.array([sum(a == b or a == ANY or b == ANY for a, b in zip(t.slots, tokens, strict=True)) for t in self.templates], np.int32)
+        if self._grid is None or self._grid.shape[1] < n:
+            grown = np.empty((len(tokens) - DEPTH, 2 * n), np.int32)
+            if self._known:
+                grown[:, : self._known] = self._grid[:, : self._known]
+            self._grid = grown
+        for i in range(self._known, n):
+            self._grid[:, i] = _coded(self.templates[i].slots)
+        self._known = n
+        total = np.full(n, DEPTH, np.int32)
+        for slots, x in zip(self._grid, _coded(tokens), strict=True):
+            total += True if x < 0 else (slots[:n] == x) | (slots[:n] < 0)
+        return total
+
+    def learn(self, at: int, tokens: list[str]) -> Template:
+        """The template at a place, with wildcards where the tokens differ."""
+        template = self.templates[at]
+        if template.slots != tokens:
+            learned = [a if a == b else ANY for a, b in zip(template.slots, tokens, strict=True)]
+            if learned != template.slots:
+                template.slots = learned
+                if at < self._known:
+                    self._grid[:, at] = _coded(learned)
+        return template
+
+    def keep(self, templates: list[Template]) -> None:
+        """Only these templates."""
+        self.templates, self._grid, self._known = templates, None, 0
 
 
 class TemplateTree:
@@ -61,41 +123,53 @@ class TemplateTree:
     is a template of its own. Slots of digits are wildcards from the start, also on the way to the leaf.
     """
 
-    def __init__(self, similarity: float = SIMILARITY) -> None:
+    def __init__(self, similarity: float = SIMILARITY, numbers: Iterator[int] | None = None) -> None:
         self.similarity = similarity
+        self.numbers = numbers or count()
         self.root: dict = {}
         self.size = 0
 
-    def leaf(self, tokens: list[str]) -> list[Template] | dict[tuple, Template]:
+    def leaf(self, tokens: list[str]) -> Leaf:
         """The leaf of a line's tokens."""
         node = self.root.setdefault(len(tokens), {})
         for token in tokens[:DEPTH]:
             node = node.setdefault(token, {})
-        # a leaf of exact templates finds them by their slots, any other compares
-        return node.setdefault(None, {} if self.similarity >= 1 else [])
+        found = node.get(None)
+        if found is None:
+            found = node[None] = Leaf()
+        return found
+
+    def _joined(self, leaf: Leaf, agreement: np.ndarray, tokens: list[str]) -> Template:
+        if len(agreement) and agreement.max() / len(tokens) >= self.similarity:
+            return leaf.learn(int(agreement.argmax()), tokens)
+        template = Template(list(tokens), next(self.numbers))
+        leaf.templates.append(template)
+        self.size += 1
+        return template
 
     def parse(self, tokens: list[str]) -> Template:
         """The template that the line joins."""
         leaf = self.leaf(tokens)
-        if isinstance(leaf, dict):
-            found = leaf.get(key := tuple(tokens))
-            if found is None:
-                found = leaf[key] = Template(tokens)
-                found.settle()
-                self.size += 1
-            return found
-        best, most = None, -1.0
-        for template in leaf:
-            share = sum(a == b or a == ANY for a, b in zip(template.slots, tokens, strict=True)) / len(tokens)
-            if share > most:
-                best, most = template, share
-        if best is None or most < self.similarity:
-            best = Template(list(tokens))
-            leaf.append(best)
-            self.size += 1
-        elif most < 1:
-            best.slots = [a if a == b else ANY for a, b in zip(best.slots, tokens, strict=True)]
-        return best
+        return self._joined(leaf, leaf.agreement(tokens), tokens)
+
+    def merge(self, slots: list[str]) -> Template:
+        """The template that a template of another tree joins.
+
+        All templates that could have a line in common with it become one, whatever the similarity: so all
+        lines of one form are in one template in the end, even if trees learned different slots from them.
+        """
+        leaf = self.leaf(slots)
+        agreement = leaf.agreement(slots)
+        alike = np.flatnonzero(agreement == len(slots)).tolist()
+        if len(alike) > 1:
+            first = leaf.templates[alike[0]]
+            for i in alike[1:]:
+                leaf.learn(alike[0], leaf.templates[i].slots)
+                leaf.templates[i].into = first
+            leaf.keep([t for t in leaf.templates if t.into is None])
+            self.size -= len(alike) - 1
+            return leaf.learn(leaf.templates.index(first), slots)
+        return self._joined(leaf, agreement, slots)
 
     def templates(self) -> Iterator[Template]:
         """All templates."""
@@ -103,84 +177,100 @@ class TemplateTree:
         while waiting:
             for key, node in waiting.pop().items():
                 if key is None:
-                    yield from node.values() if isinstance(node, dict) else node
+                    yield from node.templates
                 else:
                     waiting.append(node)
 
 
-def _lines(chunks: DataFrame, key: str, source: str, text: str, similarity: float) -> DataFrame:
-    """``(key, _source, line_no, _template)`` of each line with a letter, from one pass; the trees of a task merged with all others'."""
+def _parsed(chunks: DataFrame, key: str, source: str, text: str, similarity: float) -> tuple[DataFrame, DataFrame]:
+    """``(key, _source, line_no, _template, _form)`` of each line with a letter, and ``(_source, _template, _leaf, _slots, _n)``
+    of each template of the tasks' trees with its number of lines, from one pass over the texts."""
     kind = chunks.schema[key].dataType.simpleString()
-    schema = f"{key} {kind}, _source string, line_no long, _template long, _slots string"
-    names = [key, "_source", "line_no", "_template", "_slots"]
+    names = [key, "_source", "line_no", "_template", "_form", "_leaf", "_slots", "_n"]
+    schema = f"{key} {kind}, _source string, line_no long, _template long, _form long, _leaf long, _slots string, _n long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # numbers of templates are those of this task, which no other task gives
+        numbers = count(TaskContext.get().partitionId() << 40)
         trees: dict[str, TemplateTree] = {}
-        known: dict[tuple[str, str], Template] = {}
+        known: dict[str, dict[str, tuple[Template, int]]] = {}
+        held, typed = 0, pa.null()
+
+        def learned() -> Iterator[pa.RecordBatch]:
+            every = ((name, t) for name, tree in trees.items() for t in tree.templates())
+            while part := list(islice(every, BATCH)):
+                none = pa.nulls(len(part), pa.int64())
+                leaves = [_number(name, str(len(t.slots)), *t.slots[:DEPTH]) for name, t in part]
+                columns = [pa.array(c, k) for c, k in (([name for name, _ in part], pa.string()), ([t.number for _, t in part], pa.int64()),
+                           (leaves, pa.int64()), ([" ".join(t.slots) for _, t in part], pa.string()), ([t.lines for _, t in part], pa.int64()))]
+                yield pa.RecordBatch.from_arrays([pa.nulls(len(part), typed), columns[0], none, columns[1], none, *columns[2:]], names)
+
         for batch in batches:
-            at, sources, numbers, own = [], [], [], []
+            typed = batch.column(key).type
+            at, sources, places, own, forms = [], [], [], [], []
             for i, (name, value) in enumerate(zip(batch.column("_source").to_pylist(), batch.column(text).to_pylist(), strict=True)):
+                seen = known.setdefault(name, {})
                 for n, form in enumerate(forms_of(value), 1):
-                    if not any(map(str.isalpha, form)):
-                        continue
-                    template = known.get((name, form))
-                    if template is None:
-                        tree = trees.setdefault(name, TemplateTree(similarity))
-                        template = known[name, form] = tree.parse(form.split(" "))
+                    found = seen.get(form)
+                    if found is None:
+                        if not any(map(str.isalpha, form)):
+                            continue
+                        tree = trees.get(name)
+                        if tree is None:
+                            tree = trees[name] = TemplateTree(similarity, numbers)
+                        found = seen[form] = tree.parse(form.split(" ")), _number(form)
+                        held += 1
+                    found[0].lines += 1
                     at.append(i)
                     sources.append(name)
-                    numbers.append(n)
-                    own.append(template)
-            slots = pa.nulls(len(at), pa.string())
-            if similarity < 1:
-                # a template that later gets more slots is joined with its old self by merging
-                for template in set(own):
-                    template.settle()
-                slots = pa.array([" ".join(t.slots) for t in own], pa.string())
+                    places.append(n)
+                    own.append(found[0].number)
+                    forms.append(found[1])
+            none = pa.nulls(len(at), pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(key).take(pa.array(at, pa.int64())), pa.array(sources, pa.string()), pa.array(numbers, pa.int64()), pa.array([t.number for t in own], pa.int64()), slots], names
-            )
-            if len(known) > MOST_TEMPLATES:
+                [batch.column(key).take(pa.array(at, pa.int64())), pa.array(sources, pa.string()), *(pa.array(c, pa.int64()) for c in (places, own, forms)),
+                 none, pa.nulls(len(at), pa.string()), none], names
+            )
+            if held > MOST_FORMS:
+                yield from learned()
                 trees.clear()
                 known.clear()
+                held = 0
+        yield from learned()
 
     named = chunks.filter(F.col(text).isNotNull()).select(key, F.coalesce(F.concat(F.lit("="), F.col(source)), F.lit("")).alias("_source"), text)
-    lines = materialize(named.mapInArrow(run, schema), "lines")
-    if similarity >= 1:
-        # equal templates have equal numbers in all trees, so trees are merged by adding up
-        return lines.drop("_slots")
-    merged = _merged(lines.groupBy("_source", "_template").agg(F.first("_slots").alias("_slots"), F.count("*").alias("_n")), similarity)
-    return join_bounded(lines.drop("_slots"), merged, ["_source", "_template"], F.col(key)).drop("_template").withColumnRenamed("_merged", "_template")
+    both = materialize(named.mapInArrow(run, schema), "lines")
+    return both.filter(F.col(key).isNotNull()).select(*names[:5]), both.filter("_slots IS NOT NULL").select("_source", "_template", "_leaf", "_slots", "_n")
 
 
 def _merged(templates: DataFrame, similarity: float) -> DataFrame:
-    """``(_source, _template, _merged)``: the templates of all tasks' trees, merged leaf by leaf, the commonest first.
+    """``(_source, _template, _n, _merged)``: the templates of all tasks' trees, merged leaf by leaf, the commonest first.
 
     A task gets whole leaves and holds the merged templates of one leaf at a time.
     """
-    leaf = F.xxhash64("_source", F.size(F.split("_slots", " ")), F.slice(F.split("_slots", " "), 1, DEPTH))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, tree, rows = None, TemplateTree(similarity), []
 
         def closed() -> pa.RecordBatch:
-            for template in {id(t): t for *_, t in rows}.values():
-                template.settle()
-            out = [pa.array(c, k) for c, k in zip(([r[0] for r in rows], [r[1] for r in rows], [r[2].number for r in rows]), (pa.string(), pa.int64(), pa.int64()), strict=True)]
-            return pa.RecordBatch.from_arrays(out, ["_source", "_template", "_merged"])
+            # a merged template goes by the number of the first that came to it
+            first: dict[int, int] = {}
+            merged = [first.setdefault(t.last().number, number) for _, number, _, t in rows]
+            out = [pa.array(c, k) for c, k in ((([r[0] for r in rows]), pa.string()), ([r[1] for r in rows], pa.int64()), ([r[2] for r in rows], pa.int64()), (merged, pa.int64()))]
+            return pa.RecordBatch.from_arrays(out, ["_source", "_template", "_n", "_merged"])
 
         for batch in batches:
-            for own, source, number, slots in zip(*(batch.column(c).to_pylist() for c in ("_leaf", "_source", "_template", "_slots")), strict=True):
-                if own != now:
+            for leaf, source, number, slots, n in zip(*(batch.column(c).to_pylist() for c in ("_leaf", "_source", "_template", "_slots", "_n")), strict=True):
+                if (leaf, source) != now:
                     if rows:
                         yield closed()
-                    now, tree, rows = own, TemplateTree(similarity), []
-                rows.append((source, number, tree.parse(slots.split(" "))))
+                    now, tree, rows = (leaf, source), TemplateTree(similarity), []
+                rows.append((source, number, n, tree.merge(slots.split(" "))))
         if rows:
             yield closed()
 
-    sorted_ = templates.withColumn("_leaf", leaf).repartition("_leaf").sortWithinPartitions("_leaf", "_source", F.col("_n").desc(), "_slots")
-    return materialize(sorted_.select("_leaf", "_source", "_template", "_slots").mapInArrow(run, "_source string, _template long, _merged long"), "merged")
+    sorted_ = templates.repartition("_leaf").sortWithinPartitions("_leaf", "_source", F.col("_n").desc(), "_slots", "_template")
+    return materialize(sorted_.select("_leaf", "_source", "_template", "_slots", "_n").mapInArrow(run, "_source string, _template long, _n long, _merged long"), "merged")
 
 
 def find(chunks: DataFrame, key: str = "chunk_index", source: str = "source_document", text: str = "text",
@@ -188,34 +278,43 @@ def find(chunks: DataFrame, key: str = "chunk_index", source: str = "source_docu
     """``(key, line_no)`` of every line repeated excessively within its source; lines count from 1.
 
     Every task parses its lines into templates by a token tree of fixed depth for each source
-    (:class:`TemplateTree`), and the trees of all tasks are merged leaf by leaf. Digits are always
-    wildcard slots. At a ``similarity`` of 1 nothing else is, so that two lines are the same only if
-    their normal forms are; below it lines of a leaf that differ in some tokens are one template.
-    Templates whose merged count reaches the limits go on to an exact count of distinct documents,
-    since a record may come twice. A source's share is taken of all its distinct documents, those
-    with null text included.
-
-    A template is an aggregation key that is combined before it is shuffled, and lines are
-    joined with templates by :func:`join_bounded`, so neither a source nor a line with a third
-    of all rows ends up in one task. The null source is a source of its own; null and empty texts
-    and lines without a letter give nothing; rows with a null key are dropped; other columns are not read.
+    (:class:`TemplateTree`), which learn wildcard slots, and the trees of all tasks are merged leaf by leaf,
+    but for leaves that have too few lines in all trees together. Digits are always wildcard slots. Lines of the
+    merged templates whose count reaches the limits, and no others, go on to an exact count of distinct documents,
+    since a record may come twice. At a ``similarity`` of 1 trees learn at ``LEARNING``, and it is the normal forms in
+    such a template that are counted: all lines of a form are in one merged template, so a form that reaches the limits
+    is in one that does. Below 1 trees learn at that similarity and templates are counted, so lines that differ in
+    some tokens are the same. A source's share is taken of all its distinct documents, those with null text included.
+
+    What is counted is combined before it is shuffled, and lines are joined by :func:`join_bounded`, so
+    neither a source nor a line with a third of all rows ends up in one task. The null source is a
+    source of its own; null and empty texts and lines without a letter give nothing; rows with a null
+    key are dropped; other columns are not read.
     """
     rows = chunks.select(key, source, text).filter(F.col(key).isNotNull())
-    lines = _lines(rows, key, source, text, similarity)
-    node = ["_source", "_template"]
+    learning = LEARNING if similarity >= 1 else similarity
+    lines, templates = _parsed(rows, key, source, text, learning)
     sizes = (
         rows.select(key, F.coalesce(F.concat(F.lit("="), F.col(source)), F.lit("")).alias("_source")).distinct()
         .groupBy("_source").agg(F.count("*").alias("_all"))
         .withColumn("_least", F.greatest(F.lit(least_documents).cast("double"), F.col("_all") * least_share - 1e-9)).drop("_all")
     )
-    often = lines.groupBy(*node).agg(F.count("*").alias("_n")).filter(F.col("_n") >= least_documents)
-    likely = materialize(often.join(sizes, "_source").filter("_n >= _least").select(*node, "_least"), "templates")
-    hits = join_bounded(lines, likely, node, F.col(key))
-    covering = (
-        hits.select(*node, "_least", key).distinct().groupBy(*node, "_least").agg(F.count("*").alias("_n")).filter("_n >= _least").select(*node)
-    )
-    covering = materialize(covering, "covering")
-    return join_bounded(lines, covering, node, F.col(key)).select(key, "line_no").distinct()
+
+    def reaching(counted: DataFrame, by: str) -> DataFrame:
+        n = counted.groupBy("_source", by).agg(F.sum("_n").alias("_all")).filter(F.col("_all") >= least_documents)
+        return n.join(sizes, "_source").filter("_all >= _least").select(by)
+
+    # a leaf with too few lines has no template that reaches the limits; leaves and templates are numbered apart for each source
+    leaves = materialize(reaching(templates, "_leaf"), "leaves")
+    merged = _merged(semi_or_anti(templates, leaves, ["_leaf"], "left_semi", spread=F.col("_template")), learning)
+    exact = similarity >= 1
+    heavy = semi_or_anti(merged, reaching(merged, "_merged"), ["_merged"], "left_semi", spread=F.col("_template"))
+    heavy = materialize(heavy.select("_template", *([] if exact else ["_merged"])), "templates")
+    hits = join_bounded(lines, heavy, ["_template"], F.col(key)).select(key, "line_no", "_source", F.col("_form" if exact else "_merged").alias("_same"))
+    hits, node = materialize(hits, "hits"), ["_source", "_same"]
+    counted = hits.select(*node, key).distinct().groupBy(*node).agg(F.count("*").alias("_n")).filter(F.col("_n") >= least_documents)
+    covering = materialize(counted.join(sizes, "_source").filter("_n >= _least").select(*node), "covering")
+    return join_bounded(hits, covering, node, F.col(key)).select(key, "line_no").distinct()
 
 
 def remove(chunks: DataFrame, key: str = "chunk_index", source: str = "source_document", text: str = "text", **limits: float) -> DataFrame:

@@ -71,6 +71,75 @@ def test_trees_learn_slots_and_are_merged(spark):
     assert got == {(i, 1) for i in range(40)}
 
 
+def test_merging_brings_all_lines_of_a_form_together():
+    # two trees learned different slots from a line that both have, and a third template lies between
+    for order in (["a b c * e f g h", "a b c x e * g y", "a b c d e f g h"], ["a b c d e * z h", "a b c d * f z h", "a b c q e f z *", "a b c q w f z h"]):
+        for turned in (order, order[::-1]):
+            tree = lines.TemplateTree(0.99)
+            own = [tree.merge(slots.split(" ")) for slots in turned]
+            for one, a in zip(turned, own, strict=True):
+                for two, b in zip(turned, own, strict=True):
+                    common = all(x == y or "*" in (x, y) for x, y in zip(one.split(), two.split(), strict=True))
+                    assert a.last() is b.last() or not common
+                assert all(x in (y, "*") for x, y in zip(a.last().slots, one.split(), strict=True))
+            assert tree.size == len(list(tree.templates())) == len({id(t.last()) for t in own})
+
+    # a leaf compares many templates at once as it does few
+    rng = random.Random(3)
+    drawn = [["a", "b", "c", *(rng.choice("*defgh") for _ in range(6))] for _ in range(400)]
+    tree, leaf = lines.TemplateTree(1.0), lines.Leaf()
+    for i, slots in enumerate(drawn):
+        leaf.templates.append(lines.Template(list(slots), i))
+        want = [sum(a == b or "*" in (a, b) for a, b in zip(t.slots, drawn[-1 - i], strict=True)) for t in leaf.templates]
+        assert leaf.agreement(drawn[-1 - i]).tolist() == want
+        leaf.learn(rng.randrange(len(leaf.templates)), slots)
+    groups = [tree.merge(slots) for slots in drawn]
+    for i, a in enumerate(drawn):
+        for j, b in enumerate(drawn):
+            assert groups[i].last() is groups[j].last() or not all(x == y or "*" in (x, y) for x, y in zip(a, b, strict=True))
+
+
+def test_merged_templates_decide_what_is_counted(spark, monkeypatch):
+    # in each of five tasks the footer comes three times, beside lines that differ from it in other words
+    notes = ["for the whole of this month", "as of the date shown here", "in the form that was sent"]
+    rows = [(i, f"Fees of the bank stand {notes[0]}\nFees of the bank {'abcdefghijklmno'[i]} {notes[i % 5 % 3]}\nBody {'x' * i} alone", "a") for i in range(15)]
+    seen, merged = [], lines._merged
+
+    def spy(templates, similarity, parted=False):
+        seen.append([tuple(r) for r in templates.collect()])
+        if parted:
+            return templates.select("_source", "_template", "_n", F.col("_template").alias("_merged"))
+        return merged(templates, similarity)
+
+    table = chunks(spark, rows).repartitionByRange(5, "chunk_index")
+    monkeypatch.setattr(lines, "_merged", spy)
+    assert {tuple(r) for r in lines.find(table).collect()} == brute_lines(rows) == {(i, 1) for i in range(15)}
+    slots = {r[3] for r in seen[0]}
+    assert any("*" in s.split() for s in slots) and len(seen[0]) >= 5 and sum(r[4] for r in seen[0]) < 45
+    # without merging no template of a task reaches ten lines
+    monkeypatch.setattr(lines, "_merged", lambda t, s: spy(t, s, parted=True))
+    assert lines.find(table).count() == 0
+
+
+def test_forms_are_counted_whole_however_trees_learn(spark, monkeypatch):
+    # lines of two leaves whose forms differ in a word or more, so that tasks learn different slots from them
+    rng = random.Random(8)
+    rows = []
+    for i in range(500):
+        text = "\n".join(f"See page {rng.randrange(99)} {rng.choice(['of', 'in'])} {rng.choice('aaabcdef')} for {rng.choice('pppqrstu')} and {rng.choice('vvvwxyz')}" for _ in range(2))
+        rows.append((i, text, rng.choice(["a", "b", None])))
+    rows += rows[:30]
+    # a worker whose trees start afresh after every batch gives more templates of a form
+    for batch, most in ((10_000, lines.MOST_FORMS), (9, 3)):
+        monkeypatch.setattr(lines, "MOST_FORMS", most)
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+        try:
+            got = {tuple(r) for r in lines.find(chunks(spark, rows).repartition(7)).collect()}
+        finally:
+            spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+        assert got == brute_lines(rows) and 0 < len(got) < 1000
+
+
 def test_lines_of_nothing(spark):
     empty = chunks(spark, [(0, "x", "a")]).limit(0)
     assert lines.find(empty).count() == lines.remove(empty).count() == 0

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..operators.keyed import join_bounded, once_per_key, semi_or_anti
+from ..operators.keyed import fits_broadcast, join_bounded, semi_or_anti
 from ..session import materialize, table
 
 #: Dimensions of the sketch that neighbours are searched in, and bits of a coordinate.
@@ -164,23 +164,33 @@ def neighbours(vectors: DataFrame, k: int = 10, min_cosine: float | None = 0.75,
     third of the rows costs no more than any other; of each group the first ``k + 1`` keys are
     neighbours for all its members. Ties go to the smaller key. Null, short, all-zero and
     non-finite vectors take no part; a repeated key comes once; rows with a null key are dropped.
+    One pass over the vectors gives a number for each, by which keys that come again and copies are
+    found; after it the vectors are read to reduce keys that come again, to fit, to place and to verify.
     Below ``min_cosine`` nothing is sought: there the projected order says little. If it is None, every
     vector gets its ``k`` neighbours whatever their cosine: the trees have wider leaves, the vectors
     themselves are shuffled, and each leaf is searched by exact cosines.
     """
     leaf = leaf or (WIDE_LEAF if min_cosine is None else LEAF)
     spark = vectors.sparkSession
-    rows = once_per_key(usable(vectors, dim, key, embedding).withColumnRenamed(key, "id").withColumnRenamed(embedding, "v"), "id")
-    rows = rows.select("id", "v", F.xxhash64("v").alias("h"))
-    groups = rows.select("id", "h").groupBy("h").agg(F.min("id").alias("rep"), F.count("*").alias("size")).filter("size > 1")
+    rows = usable(vectors, dim, key, embedding).withColumnRenamed(key, "id").withColumnRenamed(embedding, "v")
+    prints = materialize(rows.select("id", F.xxhash64("v").alias("h")).groupBy("id").agg(F.min("h").alias("h"), F.count("*").alias("times")), "prints")
+    n_keys, n_again = prints.agg(F.count("*"), F.count_if(F.col("times") > 1)).first()
+    if n_again:
+        again = prints.filter("times > 1").select("id")
+        few = fits_broadcast(again, n_again)
+        # of unlike vectors with one key, the one that its print is of
+        reduced = (semi_or_anti(rows, again, ["id"], "left_semi", counted=n_again) if few else rows).groupBy("id").agg(F.min_by("v", F.xxhash64("v")).alias("v"))
+        reduced = materialize(reduced, "again")
+        rows = semi_or_anti(rows, again, ["id"], "left_anti", counted=n_again).unionByName(reduced) if few else reduced
+    groups = prints.groupBy("h").agg(F.min("id").alias("rep"), F.count("*").alias("size")).filter("size > 1")
     groups = materialize(groups, "groups")
-    n_groups = groups.count()
-    members = join_bounded(rows.select("id", "h"), groups, ["h"], F.col("id"), counted=n_groups).select("id", "rep", "size")
+    n_groups, n_members = groups.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
+    members = join_bounded(prints.select("id", "h"), groups, ["h"], F.col("id"), counted=n_groups).select("id", "rep", "size")
     members = materialize(members, "members") if n_groups else members
     copies = members.filter("id <> rep").select("id")
-    single = semi_or_anti(rows.select("id", "v"), copies, ["id"], "left_anti") if n_groups else rows.select("id", "v")
+    single = semi_or_anti(rows, copies, ["id"], "left_anti", counted=n_members - n_groups) if n_groups else rows
 
-    n = single.count()
+    n = n_keys - (n_members - n_groups)
     # one split at least, so that small tables take the same way as large ones
     depth = max(1, int(np.ceil(np.log2(max(1, n) / leaf))))
     sketch, coordinates = projections(dim, trees)
@@ -261,7 +271,7 @@ def neighbours(vectors: DataFrame, k: int = 10, min_cosine: float | None = 0.75,
         pairs = materialize(placed.mapInArrow(search, "a long, b long").distinct(), "pairs")
 
         ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-        involved = semi_or_anti(single.select(F.col("id").cast("long").alias("id"), "v"), ids, ["id"], "left_semi")
+        involved = materialize(semi_or_anti(single.select(F.col("id").cast("long").alias("id"), "v"), ids, ["id"], "left_semi"), "involved")
         both = pairs.join(involved.select(F.col("id").alias("a"), F.col("v").alias("va")), "a").join(involved.select(F.col("id").alias("b"), F.col("v").alias("vb")), "b")
 
         def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -269,10 +279,10 @@ def neighbours(vectors: DataFrame, k: int = 10, min_cosine: float | None = 0.75,
                 x, y = _matrix(batch.column("va"), dim).astype(np.float64), _matrix(batch.column("vb"), dim).astype(np.float64)
                 cosine = np.einsum("ij,ij->i", x, y) / np.sqrt(np.einsum("ij,ij->i", x, x) * np.einsum("ij,ij->i", y, y))
                 good = cosine >= min_cosine
-                yield pa.RecordBatch.from_arrays([batch.column("a").filter(pa.array(good)), batch.column("b").filter(pa.array(good)), pa.array(cosine[good])], ["a", "b", "c"])
+                a, b = np.asarray(batch.column("a"))[good], np.asarray(batch.column("b"))[good]
+                yield pa.RecordBatch.from_arrays([pa.array(np.append(a, b)), pa.array(np.append(b, a)), pa.array(np.tile(cosine[good], 2))], ["a", "b", "c"])
 
-        links = both.select("a", "b", "va", "vb").mapInArrow(verify, "a long, b long, c double")
-        return links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"), "c"))
+        return both.select("a", "b", "va", "vb").mapInArrow(verify, "a long, b long, c double")
 
     if min_cosine is None:
         # a partition holds a few leaves; links of all trees are united

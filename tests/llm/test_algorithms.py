@@ -66,6 +66,26 @@ def test_a_third_of_the_vectors_are_equal(spark):
     assert all(sorted(hot[2000 + i]) == sorted([2000 + j for j in range(3) if j != i] + [1000, 1001, 1002]) for i in range(3))
 
 
+def test_vectors_are_read_five_times_at_most(spark):
+    rows = clustered(200, np.random.default_rng(6))
+    # copies, keys delivered again, and a key with two unlike vectors
+    rows += [(1000 + i, rows[7][1]) for i in range(3)] + rows[:5] + [(2000, [1.0] * 16), (2000, [1.0, -1.0] * 8), (2001, [1.0] * 15 + [1.1]), (2002, [1.0, -1.0] * 7 + [1.0, -1.1])]
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    df = spark.createDataFrame([(i, v, "x", "y") for i, v in rows], VECTORS).mapInArrow(counted, VECTORS)
+    got = {(r.chunk_index, r.neighbour): r.cosine for r in neighbours.neighbours(df, k=3, min_cosine=0.8, dim=16, leaf=128).collect()}
+    assert len(rows) <= read.value <= 5 * len(rows)
+    # either of the two vectors, but the same in all of the result
+    want = [brute_near([*rows, (2000, v)], 3, 0.8) for v in ([1.0] * 16, [1.0, -1.0] * 8)]
+    shared = [{(i, j) for i, j in got if 2000 in (i, j)} == {(i, j) for i, j in w if 2000 in (i, j)} for w in want]
+    assert sorted(shared) == [False, True] and len(got.keys() & want[shared.index(True)].keys()) >= 0.97 * len(want[0])
+
+
 def test_no_vectors(spark):
     assert near(spark, [(1, None)]) == {} and near(spark, [(1, [1.0] * 16)]) == {}
 
